@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.llm import exact_dedup
+from weftline.llm import exact_dedup, media, mixing
 
-_MODULES = (exact_dedup,)
+_MODULES = (exact_dedup, mixing, media)
 
 
 def queries() -> dict:
