@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -13,6 +18,7 @@ def local_session(cores: int = 8, name: str = "weftline", **conf: str) -> SparkS
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
     )
     for key, value in conf.items():
@@ -22,3 +28,20 @@ def local_session(cores: int = 8, name: str = "weftline", **conf: str) -> SparkS
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    target = os.path.join(tempfile.mkdtemp(), "weftline.zip")
+    with zipfile.ZipFile(target, "w") as bundle:
+        for path in sorted(root.rglob("*.py")):
+            bundle.write(path, path.relative_to(root.parent).as_posix())
+    spark.sparkContext.addPyFile(target)
+    _SHIPPED.add(app)
