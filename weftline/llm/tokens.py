@@ -19,7 +19,7 @@ MEMO_WORDS = 1_000_000
 _ODD_SPACE = re.compile(r" (?![!-~¡-ɏ])")
 _PLAIN_SPACE = re.compile(r"(?!\A)(?= [!-~¡-ɏ])")
 
-#: Marks that both kinds of split part from the letters before them.
+#: Marks that both kinds of split part from the letter or digit before them.
 _TAIL = ".,;:!?*$%&#|)"
 #: Composed letters that lower-casing maps one to one.
 _SIMPLE_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -42,7 +42,7 @@ class _Memo(dict):
     def __missing__(self, piece: str) -> bytes:
         body = piece.rstrip(_TAIL)
         room = MEMO_WORDS
-        if 0 < len(body) < len(piece):
+        if 0 < len(body) < len(piece) and body[-1].isalnum():
             found, room = self[body] + self.encoder.bare[piece[len(body) :]], MEMO_WORDS // 2
         else:
             found = self.encoder.fresh(self.lead, piece)
