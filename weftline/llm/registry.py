@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.llm import exact_dedup, media, mixing, packing, token_files, toxicity
+from weftline.llm import exact_dedup, media, mixing, packing, simhash, token_files, toxicity
 
-_MODULES = (exact_dedup, mixing, token_files, packing, media, toxicity)
+_MODULES = (exact_dedup, mixing, token_files, packing, media, toxicity, simhash)
 
 
 def queries() -> dict:
