@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.llm import exact_dedup, media, mixing, packing, quality, simhash, token_files, toxicity
+from weftline.llm import exact_dedup, media, mixing, packing, pii, quality, simhash, token_files, toxicity
 
-_MODULES = (exact_dedup, mixing, token_files, packing, media, toxicity, quality, simhash)
+_MODULES = (exact_dedup, mixing, token_files, packing, media, toxicity, quality, pii, simhash)
 
 
 def queries() -> dict:
