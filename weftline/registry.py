@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.operators import detect
+from weftline.plans import planner
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES: tuple = ()
+_MODULES = (detect, planner)
 
 
 def queries() -> dict[str, Query]:
