@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.operators import detect
+from weftline.functions import strings
+from weftline.operators import detect, pageset, predict, provenance, timeline
 from weftline.plans import planner
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (detect, planner)
+_MODULES = (detect, planner, timeline, pageset, predict, provenance, strings)
 
 
 def queries() -> dict[str, Query]:
