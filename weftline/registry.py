@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.functions import strings
-from weftline.operators import detect, pageset, predict, provenance, signal, tabular, timeline
+from weftline.operators import detect, document, pageset, predict, provenance, signal, tabular, timeline
 from weftline.plans import planner
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (detect, planner, timeline, pageset, predict, provenance, strings, tabular, signal)
+_MODULES = (detect, planner, timeline, pageset, predict, provenance, strings, tabular, signal, document)
 
 
 def queries() -> dict[str, Query]:
