@@ -78,9 +78,7 @@ def _unknown_end(data: bytes, at: int, end: int, unknown_ends: frozenset | set)
         if kind in unknown_ends:
             return at
         length, body = vint(data, body, end)
-        if length < 0:
-            raise ValueError(f"nested element of unknown size at byte {at}")
-        at = body + length
+        at = _unknown_end(data, body, end, TOP_LEVEL | {EBML, SEGMENT}) if length < 0 else body + length
     return end
 
 
