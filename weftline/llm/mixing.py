@@ -49,7 +49,7 @@ def _source_key(source: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float], default_weight: float = 1.0, budget: float | None = None) -> DataFrame:
-    """``weftline_key, rate, parts, cdf``: one row per source. ``budget``: target mass; None: the mass there is."""
+    """``weftline_key, weftline_rate, weftline_parts, weftline_cdf``: one row per source. ``budget``: target mass; None: the mass there is."""
     mass = docs.groupBy(_source_key(F.col("source")).alias("weftline_key")).agg(F.sum(F.length(whole()) + F.lit(1)).cast("double").alias("mass"))
     known = F.create_map(*[x for k, w in sorted(weights.items()) for x in (F.lit("s" + k), F.lit(float(w)))]) if weights else None
     weight = F.coalesce(F.try_element_at(known, "weftline_key"), F.lit(float(default_weight))) if weights else F.lit(float(default_weight))
@@ -66,7 +66,7 @@ def rates(docs: DataFrame, weights: dict[str, float], default_weight: float = 1.
         rated.where(F.col("weight") > 0)
         .withColumn("parts", parts)
         .withColumn("cdf", summed)
-        .select("weftline_key", "rate", "parts", "cdf")
+        .select("weftline_key", F.col("rate").alias("weftline_rate"), F.col("parts").alias("weftline_parts"), F.col("cdf").alias("weftline_cdf"))
     )
 
 
@@ -82,8 +82,8 @@ def replicate(docs: DataFrame, weights: dict[str, float], default_weight: float
     """The columns of ``docs`` and ``weftline_copy`` (from 1), ``weftline_copies``, ``weftline_order``; shuffled."""
     drawn = with_rates(docs, rates(docs, weights, default_weight, budget))
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    draw = lambda part: F.size(F.filter("cdf", lambda c: c <= _uniform(F.lit(seed), name, part)))
-    copies = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("parts")), draw), F.lit(0), lambda a, b: a + b)
+    draw = lambda part: F.size(F.filter("weftline_cdf", lambda c: c <= _uniform(F.lit(seed), name, part)))
+    copies = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("weftline_parts")), draw), F.lit(0), lambda a, b: a + b)
     out = (
         drawn.withColumn("weftline_copies", copies)
         .where(F.col("weftline_copies") > 0)
