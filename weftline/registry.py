@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.functions import strings
-from weftline.operators import detect, document, pageset, predict, provenance, relational, signal, tabular, timeline
-from weftline.plans import planner
+from weftline.operators import captions, detect, document, pageset, predict, provenance, relational, signal, tabular, timeline
+from weftline.plans import limits, planner
 from weftline.sources import archives, office
 from weftline.streaming import journal
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (detect, planner, timeline, pageset, predict, provenance, strings, tabular, signal, document, archives, office, journal, relational)
+_MODULES = (detect, planner, timeline, pageset, predict, provenance, strings, tabular, signal, document, archives, office, journal, relational, limits, captions)
 
 
 def queries() -> dict[str, Query]:
