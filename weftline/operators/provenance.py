@@ -76,7 +76,7 @@ _JOURNAL = """SELECT event_id, user_id, (event_id % 997) || '-' || event_type AS
 
 def resume_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     journal = _journal(spark, sf_dir)
-    outputs = journal.where("event_id % 3 <> 0").select("output_name").distinct()
+    outputs = journal.where("NOT endswith(source_name, 'click')").select("output_name").distinct()  # what still exists
     return resume(journal.select("source_name").distinct(), journal, F.col("event_id"), outputs)
 
 
@@ -118,7 +118,7 @@ QUERIES = {"resume_anti": resume_anti, "budget_running": budget_running, "journa
 ORACLES = {
     "resume_anti": f"""
 WITH j AS ({_JOURNAL}), l AS (SELECT source_name, arg_max(outcome, event_id) AS outcome, arg_max(output_name, event_id) AS output_name FROM j GROUP BY 1),
-d AS (SELECT source_name FROM l WHERE outcome = 'completed' AND output_name IN (SELECT output_name FROM j WHERE event_id % 3 <> 0))
+d AS (SELECT source_name FROM l WHERE outcome = 'completed' AND output_name IN (SELECT output_name FROM j WHERE NOT ends_with(source_name, 'click')))
 SELECT DISTINCT source_name FROM j WHERE source_name NOT IN (SELECT source_name FROM d)""",
     "budget_running": "SELECT doc_id, source, running::BIGINT AS running, running <= 50000 AS admitted FROM (SELECT doc_id, source, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS running FROM documents)",
     "journal_batch_summary": f"""SELECT user_id, count(*) FILTER (outcome = 'completed') AS converted, count(*) FILTER (outcome = 'failed') AS failed, count(*) FILTER (outcome = 'skipped') AS skipped,
