@@ -174,6 +174,18 @@ def test_agreement_is_edit_distance():
         assert found == pytest.approx(true) or max(found, true) < passages.SIMILARITY
 
 
+def test_both_ways_to_count_edits():
+    rng = random.Random(8)
+    for _ in range(500):
+        a, b = ([rng.randint(0, 3) for _ in range(rng.randint(1, 25))] for _ in range(2))
+        if rng.random() < 0.7:
+            b = a[: rng.randint(0, len(a))] + b[:3] + a[rng.randint(0, len(a)) :]
+        true, most = edit_distance(a, b), rng.randint(1, 12)
+        left, right = np.array(a, "<u4"), np.array(b, "<u4")
+        assert passages.few_edits(left, right, most) == (true if true <= most else None)
+        assert min(passages.banded(left, right, most), most + 1) == min(true, most + 1) if len(b) else True
+
+
 def brute_chain(x, y):
     value = [0.0] * len(x)
     for i in range(len(x)):

@@ -25,6 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm.scratch import written
 from weftline.llm.text import documents, whole
 
 MAX_RATE = 16.0
@@ -51,6 +52,7 @@ def _source_key(source: Column) -> Column:
 def rates(docs: DataFrame, weights: dict[str, float], default_weight: float = 1.0, budget: float | None = None) -> DataFrame:
     """``weftline_key, weftline_rate, weftline_parts, weftline_cdf``: one row per source. ``budget``: target mass; None: the mass there is."""
     mass = docs.groupBy(_source_key(F.col("source")).alias("weftline_key")).agg(F.sum(F.length(whole()) + F.lit(1)).cast("double").alias("mass"))
+    mass = written(mass, "source-mass")  # one scan, whatever reads it below
     known = F.create_map(*[x for k, w in sorted(weights.items()) for x in (F.lit("s" + k), F.lit(float(w)))]) if weights else None
     weight = F.coalesce(F.try_element_at(known, "weftline_key"), F.lit(float(default_weight))) if weights else F.lit(float(default_weight))
     mass = mass.withColumn("weight", weight)

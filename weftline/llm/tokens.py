@@ -12,7 +12,7 @@ import re
 from array import array
 
 #: Entries a worker keeps; later new words are encoded each time. Bounds memory, not results.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 500_000
 
 # A space before a character that is surely no white space: every split of this kind of tokenizer
 # starts a new word there.

@@ -31,7 +31,7 @@ from weftline.llm.wordhash import mixed, slices, words
 BITS = 20
 PREFIXES = (3, 4, 5, 6, 7, 8, 10)
 SAMPLE_ROWS, LEARNER_ROWS, EPOCHS = 16_000, 4_000, 4
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.4, 0.2
+ALPHA, BETA, L1, L2 = 0.3, 1.0, 2.0, 0.2
 THRESHOLD = 0.5
 FOLDS, HELD_OUT = 5, 0
 
@@ -103,7 +103,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, data, offsets in slices(batch["text"]):
             text, feature = grams(data, offsets)
             keys = np.unique(text << BITS | feature)
-            parts = np.split(keys & (1 << BITS) - 1, np.searchsorted(keys >> BITS, np.arange(1, len(offsets) - 1)))
+            parts = np.split((keys & (1 << BITS) - 1).astype(np.int32), np.searchsorted(keys >> BITS, np.arange(1, len(offsets) - 1)))
             rows += zip(parts, labels[first : first + len(offsets) - 1], strict=True)
     if rows:
         order = np.random.default_rng(0).permutation(len(rows))
@@ -127,24 +127,25 @@ def fit(docs: DataFrame, labelled: DataFrame) -> Model:
     learned = dealt.select("text", F.col("label").cast("int").alias("label"))
     found = learned.mapInArrow(_learn, "feature long, weight double, evidence double")
     merged = found.groupBy("feature").agg((F.sum(F.col("weight") * F.col("evidence")) / F.sum("evidence")).alias("weight"))
-    pdf = merged.where("weight <> 0").toPandas()  # sparse by L1, and at most 2^BITS + 1 rows
-    real = pdf[pdf.feature < 1 << BITS]
-    return Model(real.feature.to_numpy(), real.weight.to_numpy(np.float32), float(pdf.weight[pdf.feature == 1 << BITS].sum()))
+    # Sparse by L1, and at most 2^BITS + 1 rows of eight bytes.
+    rows = merged.where("weight <> 0").select(F.col("feature").cast("int").alias("feature"), F.col("weight").cast("float").alias("weight")).toArrow()
+    features, weights = rows["feature"].to_numpy(), rows["weight"].to_numpy()
+    real = features < 1 << BITS
+    return Model(features[real], weights[real], float(weights[~real].sum()))
 
 
-def _score(model):
+def _score(model, text_column: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bias = model.value.table(), model.value.bias
         for batch in batches:
             scores = np.full(batch.num_rows, bias, np.float64)
-            for first, data, offsets in slices(batch["weftline_text"]):
+            for first, data, offsets in slices(batch[text_column]):
                 text, feature = grams(data, offsets)
                 hit = np.flatnonzero(table[feature])
                 keys = np.unique(text[hit] << BITS | feature[hit])
                 scores[first : first + len(offsets) - 1] += np.bincount(keys >> BITS, table[keys & (1 << BITS) - 1], len(offsets) - 1)
             value = 1 / (1 + np.exp(-np.clip(scores, -30, 30)))
-            rest = [batch[c] for c in batch.schema.names if c != "weftline_text"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(value)], names=[c for c in batch.schema.names if c != "weftline_text"] + ["weftline_score"])
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in names], pa.array(value)], names=[*names, "weftline_score"])
 
     return run
 
@@ -153,7 +154,8 @@ def score(docs: DataFrame, model: Model, *columns: str) -> DataFrame:
     """The named columns of ``docs`` and ``weftline_score``."""
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*columns).dtypes)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(*columns, whole().alias("weftline_text")).mapInArrow(_score(shared), f"{schema}, weftline_score double")
+    sent = docs.select(*columns) if "text" in columns else docs.select(*columns, "text")
+    return sent.mapInArrow(_score(shared, "text", list(columns)), f"{schema}, weftline_score double")
 
 
 def training_labels(labels: DataFrame, label: str, folds: int, held_out: int) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: Bytes handled at once; bounds the working arrays, not the texts (a longer text goes alone).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 # Lower-cased letters, digits and all bytes above ASCII are parts of words; the rest part them.
 LETTERS = np.zeros(256, np.uint8)
