@@ -231,3 +231,23 @@ def test_planted_passages(spark):
     before = {i: len((t or "").split()) for i, t in rows}
     assert all(cut[i] == before[i] for i in [*range(20, 30), 100, 101, 102, 103]) and sum(cut[i] < before[i] - 40 for i in [*range(20), None]) == 20
     assert passages.passages(df.limit(0)).count() == 0
+
+
+def words_of(rng, n):
+    return ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+
+
+def test_rows_of_one_id_stay_apart(spark):
+    """Two rows of one id whose 64-bit hashes agree in their last 15 bits share a passage."""
+    rng = random.Random(8)
+    passage, seen = " ".join(words_of(rng, 60)), {}
+    for n in range(10_000):
+        text = f"{n} {passage} {n} end"
+        other = seen.setdefault(xxhash.xxh64_intdigest(text.encode(), seed=42) % (1 << 15), text)
+        if other != text:
+            break
+    for doc_id in (7, None):
+        df = spark.createDataFrame([(doc_id, other), (doc_id, text)], "doc_id long, text string")
+        assert df.selectExpr("count(DISTINCT pmod(xxhash64(text), 32768))").first()[0] == 1
+        assert [(r["doc_id"], r["passage_start"], r["passage_end"]) for r in passages.passages(df).collect()] == [(doc_id, 1, 61)]
+        assert sorted(len(r["text"].split()) for r in passages.without_repeats(df).collect()) == [3, 63]
