@@ -251,3 +251,24 @@ def test_rows_of_one_id_stay_apart(spark):
         assert df.selectExpr("count(DISTINCT pmod(xxhash64(text), 32768))").first()[0] == 1
         assert [(r["doc_id"], r["passage_start"], r["passage_end"]) for r in passages.passages(df).collect()] == [(doc_id, 1, 61)]
         assert sorted(len(r["text"].split()) for r in passages.without_repeats(df).collect()) == [3, 63]
+
+
+def test_chains_leave_no_match_over():
+    rng = random.Random(5)
+    for _ in range(200):
+        points = sorted({(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(rng.randint(2, 25))})
+        x, y = (np.array(c) for c in zip(*points, strict=True))
+        found = passages.linked(x, y)
+        assert sorted(i for c in found for i in c) == list(range(len(points)))
+        assert all((np.diff(x[c]) > 0).all() and (np.diff(y[c]) > 0).all() for c in found)
+
+
+def test_two_passages_of_a_pair(spark):
+    """Pages with one header and one footer around bodies of their own, of unequal lengths."""
+    rng = random.Random(9)
+    header, footer = words_of(rng, 60), words_of(rng, 60)
+    bodies = [60, 80, 40, 150, 60]
+    df = spark.createDataFrame([(i, " ".join([*header, *words_of(rng, n), *footer])) for i, n in enumerate(bodies)], "doc_id long, text string")
+    found = {(r["doc_id"], r["passage_start"], r["passage_end"]) for r in passages.passages(df).collect()}
+    assert found == {(i, *span) for i, n in enumerate(bodies) if i for span in ((0, 60), (60 + n, 120 + n))}
+    assert {r["doc_id"]: len(r["text"].split()) for r in passages.without_repeats(df).collect()} == {i: n if i else 180 for i, n in enumerate(bodies)}
