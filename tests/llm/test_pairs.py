@@ -272,3 +272,27 @@ def test_two_passages_of_a_pair(spark):
     found = {(r["doc_id"], r["passage_start"], r["passage_end"]) for r in passages.passages(df).collect()}
     assert found == {(i, *span) for i, n in enumerate(bodies) if i for span in ((0, 60), (60 + n, 120 + n))}
     assert {r["doc_id"]: len(r["text"].split()) for r in passages.without_repeats(df).collect()} == {i: n if i else 180 for i, n in enumerate(bodies)}
+
+
+@pytest.mark.parametrize("length", [6, 9, 12, 15, 20])
+def test_repeated_lines(spark, length):
+    """A block of one line, ten times over, in three documents; once in a fourth."""
+    rng = random.Random(length)
+    line = words_of(rng, length)
+    rows = [(i, " ".join([*words_of(rng, 30 + i), *line * 10, *words_of(rng, 25)])) for i in range(1, 4)]
+    rows.append((0, " ".join([*words_of(rng, 30), *line, *words_of(rng, 30)])))
+    for some in (rows[:3], rows) if length >= 12 else (rows[:3],):  # shorter lines may lack a seed of their own
+        found = passages.passages(spark.createDataFrame(some, "doc_id long, text string")).collect()
+        first = min(i for i, _ in some)
+        assert {(r["doc_id"], r["passage_start"], r["passage_end"]) for r in found} == {(i, 30 + i, 30 + i + 10 * length) for i in range(1, 4) if i > first}
+
+
+def test_copies_within_a_document(spark):
+    """Each copy of a passage is found whole: two in one document, and one after half a copy."""
+    rng = random.Random(10)
+    passage, own = words_of(rng, 100), lambda: words_of(rng, 50)
+    rows = [(0, [*own(), *passage, *own()]), (1, [*own(), *passage, *own(), *passage, *own()]), (2, [*own(), *passage[:50], *own(), *passage, *own()])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    found = {(r["doc_id"], r["passage_start"], r["passage_end"]) for r in passages.passages(df).collect()}
+    assert found == {(1, 50, 150), (1, 200, 300), (2, 50, 100), (2, 150, 250)}
+    assert {r["doc_id"]: len(r["text"].split()) for r in passages.without_repeats(df).collect()} == {0: 200, 1: 150, 2: 150}
