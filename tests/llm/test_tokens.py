@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from weftline.llm import matroska, media, packing, token_files
 from weftline.llm.text import documents
-from weftline.llm.tokens import Encoder
+from weftline.llm.tokens import Encoder, encoder
 
 SF = "/root/testdata/sf0.001"
 ODD = ["", " ", "  a", "a  b\n\n c", "don't 'S it's\ta", "x　y z", " \n \n x", "é ñ b  ", "<|endoftext|> x", "a\x1cb c", "A" * 300, "abc ́def", "İstanbul ΣΑΣ", "²³ x½", "l'été qu'il", "ǅ ⅷ", "हिन्दी भाषा", "ﬁne", "a\r\nb", "x ́", "a 's b",
@@ -205,3 +205,27 @@ def test_media_query(spark):
         stored = matroska.mux_pcm8(payload)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+
+
+# -- added tokens ----------------------------------------------------------------------------
+
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y  <|endoftext|>\n", "<|startoftext|>Some Words<|endoftext|><|endoftext|> é's", "a <|ENDOFTEXT|> b", "<|endoftext", "<| endoftext |>"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_are_the_librarys(name):
+    """The encoder of the queries against a tokenizer as it comes."""
+    plain, code = Tokenizer.from_file(public_tokenizers.path(name)), encoder(public_tokenizers.path(name))
+    for text in SPECIAL + ODD:
+        assert np.frombuffer(code.ids(text), code.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
+def test_added_tokens_in_token_files_and_packing(spark, tmp_path):
+    df = spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string")
+    plain = lambda name: [e.ids for e in Tokenizer.from_file(public_tokenizers.path(name)).encode_batch(SPECIAL, add_special_tokens=False)]
+    path = str(tmp_path / "tokens")
+    token_files.write_tokens(df, path, public_tokenizers.path("word_bpe_49k.json"))
+    found = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in token_files.digest_tokens(token_files.read_tokens(spark, path)).collect()}
+    assert found == {i: (len(x) + 1, zlib.crc32(np.array([*x, 2], "<u4").tobytes())) for i, x in enumerate(plain("word_bpe_49k.json"))}
+    lengths = {r["doc_id"]: r["doc_tokens"] for r in packing.packed_documents(df).collect()}
+    assert lengths == {i: len(x) + 1 for i, x in enumerate(plain("byte_bpe_50k.json"))}
