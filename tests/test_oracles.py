@@ -32,3 +32,11 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 50
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_markdown_lines_are_whole(spark):
+    """Each line of the documents ends its escaped line."""
+    lines = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "posexplode(split(text, '\\n')) AS (pos, line)")
+    found = registry.queries()["md_escape_lines"](spark, SF)
+    assert found.count() == lines.count() and found.join(lines, ["doc_id", "pos"]).where("NOT endswith(escaped, line)").count() == 0
+    assert found.where("length(escaped) > 60").count() > 0

@@ -140,6 +140,13 @@ def md_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.withColumn("line", F.concat(F.element_at(starts, (F.pmod("pos", F.lit(10)) + 1).cast("int")), F.substring("line", 1, 40))).select("doc_id", "pos", markdown_escape(F.col("line")).alias("escaped"))
 
 
+def md_escape_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of the documents, whole, prefixed by turns so that all rules occur."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    starts = F.array(*[F.lit(x) for x in ("", "# ", "- ", "-3", "12. ", "1975 ", "> ", "  * ", "|", "3) ")])
+    return lines.select("doc_id", "pos", markdown_escape(F.concat(F.element_at(starts, (F.pmod("pos", F.lit(10)) + 1).cast("int")), F.col("line"))).alias("escaped"))
+
+
 def csv_quote_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.col("c_name"), F.when(F.col("c_custkey") % 3 == 0, F.lit(', "x"')).when(F.col("c_custkey") % 3 == 1, F.lit("\n")).otherwise(""))
     return table(spark, sf_dir, "customer").select("c_custkey", csv_quote(text).alias("quoted"))
@@ -181,13 +188,17 @@ def backtick_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.greatest(longest_run(text), F.lit(2)) + 1).alias("fence"))
 
 
-QUERIES = {"ws_collapse": ws_collapse, "html_escape": html_escape_pages, "md_escape": md_escape, "csv_quote": csv_quote_names, "ts_format": ts_format, "folder_key": folder_keys, "template_render": template_render, "name_checks": name_checks, "name_suffixes": name_suffixes, "human_sizes": human_sizes, "backtick_fences": backtick_fences}
+QUERIES = {"ws_collapse": ws_collapse, "html_escape": html_escape_pages, "md_escape": md_escape, "md_escape_lines": md_escape_lines, "csv_quote": csv_quote_names, "ts_format": ts_format, "folder_key": folder_keys, "template_render": template_render, "name_checks": name_checks, "name_suffixes": name_suffixes, "human_sizes": human_sizes, "backtick_fences": backtick_fences}
 ORACLES = {
     "ws_collapse": "SELECT doc_id, md5(trim(regexp_replace(text, '[\\s\\x0B\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g'))) AS digest FROM documents",
     "html_escape": "SELECT page_id, md5(regexp_replace(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;'), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g')) AS digest FROM pages",
     "md_escape": r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
 p AS (SELECT doc_id, pos, ['', '# ', '- ', '-3', '12. ', '1975 ', '> ', '  * ', '|', '3) '][pos % 10 + 1] || substr(line, 1, 40) AS line FROM l)
+SELECT doc_id, pos::INTEGER AS pos, CASE WHEN regexp_matches(line, '^[ \t]*([#>`~|]|[-*+] |[0-9]+[.)] )') THEN regexp_replace(line, '^([ \t]*)', '\1\\') ELSE line END AS escaped FROM p""",
+    "md_escape_lines": r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+p AS (SELECT doc_id, pos, ['', '# ', '- ', '-3', '12. ', '1975 ', '> ', '  * ', '|', '3) '][pos % 10 + 1] || line AS line FROM l)
 SELECT doc_id, pos::INTEGER AS pos, CASE WHEN regexp_matches(line, '^[ \t]*([#>`~|]|[-*+] |[0-9]+[.)] )') THEN regexp_replace(line, '^([ \t]*)', '\1\\') ELSE line END AS escaped FROM p""",
     "csv_quote": """
 WITH t AS (SELECT c_custkey, c_name || CASE c_custkey % 3 WHEN 0 THEN ', "x"' WHEN 1 THEN chr(10) ELSE '' END AS s FROM customer)
