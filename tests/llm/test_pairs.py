@@ -37,7 +37,41 @@ def test_exact_dedup_reads_the_index_without_a_shuffle(spark):
     index = exact_dedup.fresh_index(spark)
     exact_dedup.ingest(spark.createDataFrame(ROWS, DIRTY), index)
     plan = index.new_groups(index.read())._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and "LeftAnti" in plan and "Exchange" not in plan
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan
+    # The batch's digests are shuffled and sorted once; the index is read as it lies.
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [digest") == 1, plan
+
+
+def test_a_batch_that_died_is_found_new_again(spark):
+    index = exact_dedup.fresh_index(spark)
+    exact_dedup.keep_new(spark.createDataFrame(ROWS[:2], DIRTY), index, "early").collect()
+    later = spark.createDataFrame([*ROWS, (9, "only here", None, None, None)], DIRTY)
+    exact_dedup.ingest(later, index, "late")  # appended, and its result lost
+    again = exact_dedup.keep_new(later, index, "late")
+    assert sorted(r["doc_id"] or 0 for r in again.collect()) == [0, 4, 5, 9]
+    index.compact()
+    assert len(index.runs()) == 1
+    assert sorted(r["doc_id"] or 0 for r in exact_dedup.keep_new(later, index, "late").collect()) == [0, 4, 5, 9]
+    assert exact_dedup.keep_new(later, index, "third").count() == 0
+
+
+def test_runs_are_merged(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MAX_RUNS", 2)
+    index = exact_dedup.fresh_index(spark)
+    kept = [exact_dedup.keep_new(spark.createDataFrame([(i, f"t{j}") for j in range(i, i + 3)], "doc_id long, text string"), index).count() for i in range(6)]
+    assert kept == [3, 1, 1, 1, 1, 1] and len(index.runs()) <= 4 and index.read().count() == 8
+    index.drop()
+    assert not index.runs()
+
+
+def test_two_batches_agree_with_one(spark):
+    rows = exact_dedup.ingest_all(spark.createDataFrame(ROWS, DIRTY), exact_dedup.fresh_index(spark)).collect()
+    found = sorted((r["doc_id"] or 0, r["keep_id"], r["group_size"], r["kept"]) for r in rows if r["group_size"] == 3)
+    assert found == [(0, 4, 3, False), (1, 2, 3, False), (2, 2, 3, True), (2, 2, 3, True), (3, 4, 3, False), (4, 4, 3, True)]
+    nothing = spark.createDataFrame([], DIRTY)
+    assert exact_dedup.ingest_all(nothing, exact_dedup.fresh_index(spark)).count() == 0
+    nulls = exact_dedup.ingest_all(spark.createDataFrame([(None, "a"), (None, "A")], "doc_id long, text string"), exact_dedup.fresh_index(spark))
+    assert [(r["keep_id"], r["group_size"], r["kept"]) for r in nulls.collect()] == [(None, 2, True)] * 2
 
 
 def test_hot_digests_are_joined_apart(spark, monkeypatch):
