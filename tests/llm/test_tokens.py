@@ -220,6 +220,27 @@ def test_added_tokens_are_the_librarys(name):
         assert np.frombuffer(code.ids(text), code.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_is_the_librarys_on_odd_letters(name):
+    """Defaults of the library, over letters whose lower case or composition is odd, and added tokens."""
+    plain, code = Tokenizer.from_file(public_tokenizers.path(name)), encoder(public_tokenizers.path(name))
+    rng = random.Random(5)
+    alphabet = ["İ", "ς", "Σ", "\u0307", "\u00ad", "ǅ", "ẞ", "ŉ", "ﬁ", "e\u0301", "K", "Å", "٣", "²", "Ⅷ", "一", "ा", "\u200d", "\u00a0", "\u3000", "a", "B", "s", "'", "9", " ", "  ", "\n", *",.;:!?*$%&#|)<>=-_", "<|endoftext|>", "<|startoftext|>"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 8))) for _ in range(30_000)]
+    for text, wanted in zip(texts, plain.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(code.ids(text), code.dtype).tolist() == wanted.ids, text
+
+
+def test_token_query(spark):
+    """The registered query against the library as it comes, whole tables and texts."""
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    docs, at = sorted((r["doc_id"], r["text"] or "") for r in documents(spark, SF).collect()), 0
+    found = sorted(tuple(r[c] for c in ("doc_id", "start", "n_tokens", "ids_crc32")) for r in token_files.op3(spark, SF).collect())
+    for row, (doc_id, _), e in zip(found, docs, plain.encode_batch([t for _, t in docs], add_special_tokens=False), strict=True):
+        assert row == (doc_id, at, len(e.ids) + 1, zlib.crc32(np.array([*e.ids, 2], "<u4").tobytes()))
+        at += len(e.ids) + 1
+
+
 def test_added_tokens_in_token_files_and_packing(spark, tmp_path):
     df = spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string")
     plain = lambda name: [e.ids for e in Tokenizer.from_file(public_tokenizers.path(name)).encode_batch(SPECIAL, add_special_tokens=False)]

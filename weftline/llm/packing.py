@@ -9,7 +9,7 @@ left is packed greedily, largest first, cutting a remainder where nothing fits a
 short sequence is cut at powers of two, where sequences need no padding.
 
 The plan says which ranks of each length go where. Spark ranks the remainders: rows of one length
-are dealt into lanes of bounded size by a hash of the id, ranked within their lane, and shifted by
+are dealt into lanes of bounded size by a hash of the row, ranked within their lane, and shifted by
 the counts of the lanes before; then each document cuts itself by the broadcast plan, whose size
 depends on the window alone.
 
@@ -40,8 +40,8 @@ from weftline.llm.tokens import encoder
 WINDOW, END_ID = 2048, 1
 PARTS = 4
 SWEEPS = 40
-#: Rows of one lane, over all lengths; a lane of one length is sorted in one task.
-LANE_ROWS = 50_000
+#: Rows of one length in a lane, about; a lane is sorted in one task, and has one row in the table of shifts.
+LANE_ROWS = 512
 
 
 # -- the plan, from the histogram ------------------------------------------------------------
@@ -256,9 +256,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
         before[x["rest"]] = full
         full += x["windows"]
     made = plan({x["rest"]: x["n"] for x in found}, window, first_sequence=full)
-    total = sum(x["n"] for x in found)
-    lanes = max(1, -(-total // LANE_ROWS))
-    laned = rows.withColumn("lane", F.pmod(F.xxhash64("doc_id", "doc_tokens"), F.lit(lanes)))
+    lanes = F.create_map(*[F.lit(v) for x in found for v in (x["rest"], -(-x["n"] // LANE_ROWS))]) if found else F.create_map(F.lit(0), F.lit(1))
+    laned = rows.withColumn("lane", F.pmod(F.xxhash64("doc_id", F.crc32("ids")), lanes[F.col("rest")]))
     prior = W.partitionBy("rest").orderBy("lane").rowsBetween(W.unboundedPreceding, -1)
     bases = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else F.create_map(F.lit(0), F.lit(0))
     shifts = (

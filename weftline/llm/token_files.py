@@ -7,7 +7,8 @@ and stripes are read in parallel. Each row also holds its shard and the ids befo
 shard, so the place of a document in the whole stream needs one small sum per shard.
 
 Cases: null text counts as empty, so a document is at least its end id; a null ``doc_id`` sorts
-first; rows that share an id are ordered by their text and stay separate; an empty table gives
+first; rows that share an id are ordered by a hash of their text, which also spreads many of them
+over several files, and stay separate; an empty table gives
 files without rows; extra columns are not stored.
 """
 
@@ -58,7 +59,8 @@ def _encode(path: str, end_id: int):
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shards: int | None = None) -> None:
     """Write ``doc_id, shard, shard_start, ids`` in ascending order of ``doc_id``."""
     shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"), F.xxhash64(whole()).alias("tie"))
+    ordered = keyed.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
     ordered.mapInArrow(_encode(tokenizer, end_id), SCHEMA).write.options(**ORC_OPTIONS).orc(path)
 
 

@@ -43,7 +43,8 @@ class _Memo(dict):
     def __missing__(self, piece: str) -> bytes:
         body = piece.rstrip(_TAIL)
         room = MEMO_WORDS
-        if 0 < len(body) < len(piece) and body[-1].isalnum():
+        last = body[-1:].lower()  # what lower-casing takes apart may end in a mark that joins the tail
+        if len(body) < len(piece) and len(last) == 1 and last.isalnum():
             found, room = self[body] + self.encoder.bare[piece[len(body) :]], MEMO_WORDS // 2
         else:
             found = self.encoder.fresh(self.lead, piece)
