@@ -194,11 +194,16 @@ def test_media_tables(spark):
     assert media.cues(stored).count() == 5
     broken = spark.createDataFrame([(1, bytearray(b"\x1aE\xdf\xa3\x84ab")), (2, None)], "doc_id long, media binary")
     assert [r["doc_id"] for r in media.packets(broken).collect() if r["error"]] == [1] and media.cues(broken).count() == 0
+    assert media.features(broken.selectExpr("*", "1L AS n_bytes")).where("feature IS NULL").count() == 2
+    clash = spark.createDataFrame([(1, "t", "p", "q", 5, "e")], "doc_id long, text string, packets string, cues string, n_bytes int, error string")
+    assert media.features(media.stored(clash)).first()["n_bytes"] == 1 and media.features(media.stored(clash.limit(0))).count() == 0
     found = media.features(stored).collect()
     assert len({tuple(r)[1:] for r in found if r["doc_id"] in (2, 3)}) == 1
 
 
 def test_media_query(spark):
+    plan = media.op5(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "media" in plan[plan.index("Scan parquet") :] and plan.count("MapInArrow") == 2 and "Exchange" not in plan
     for r, d in zip(media.op5(spark, SF).orderBy("doc_id").collect(), documents(spark, SF).orderBy("doc_id").collect(), strict=True):
         raw = (d["text"] or "").encode()
         payload = raw + bytes(-len(raw) % 64 if raw else 64)
