@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -191,6 +192,75 @@ def test_discovery(spark):
     assert found[200]["spans"] == "" and pii.extract(df).count() == len(rows) and pii.extract(df.limit(0)).count() == 0
 
 
+def test_odd_forms_are_found_by_their_contexts(spark):
+    """Obfuscated addresses, grouped and short numbers, a very long word; ordinary words in the same places are left alone."""
+    rows = [(i, f"Kindly write an email to user{i}@mail.example today. Or dial number +1 (555) 010-{1000 + i} for help. We walk towards place{i}x quickly.") for i in range(40)]
+    odd = [(100, "Kindly write an email to jane(at)corp.example today."), (101, "Please dial number (030) 123 456 for help."), (102, "They dial number 911 for help."), (103, f"an email to {'z' * 300}(at)corp today.")]
+    plain = [(200 + i, f"Nobody talks to word{i} anyway.") for i in range(40)]
+    found = {r["doc_id"]: r for r in pii.extract(spark.createDataFrame(rows + odd + plain, "doc_id long, text string")).collect()}
+    at = lambda text, part: (text.index(part), text.index(part) + len(part))
+    for (i, text), kind, part in zip(odd, ("email", "phone", "phone", "email"), ("jane(at)corp.example", "(030) 123 456", "911", "z" * 300 + "(at)corp"), strict=True):
+        a, b = at(text, part)
+        assert found[i]["spans"] == f"{kind}:{a}:{b}", (text, found[i])
+    assert all(found[i]["n_discovered"] == 0 for i, _ in rows + plain)
+
+
+def plain_graph(texts, rounds=pii.ROUNDS, support=pii.SUPPORT):
+    """The graph's rounds as loops over dictionaries."""
+    edges, seeds = set(), {}
+    for text in texts:
+        for m in pii.mentions(text, pii.base_spans(text)):
+            edges |= {(m["instance"], p) for p in m["patterns"]}
+            if m["kind"]:
+                seeds[m["instance"], m["kind"]] = 1.0
+    degree, scores, known = {}, dict(seeds), {i for i, _ in seeds}
+    for _, p in edges:
+        degree[p] = degree.get(p, 0) + 1
+    for _ in range(rounds):
+        weight, miss = {}, {}
+        for i, p in edges:
+            for k in pii.KINDS:
+                if (i, k) in scores:
+                    weight[p, k] = weight.get((p, k), 0) + scores[i, k]
+        sure = {(p, k): w / degree[p] for (p, k), w in weight.items() if w >= support and w / degree[p] >= pii.RELIABLE}
+        for i, p in edges:
+            for k in pii.KINDS:
+                if (p, k) in sure and i not in known:
+                    miss[i, k] = miss.get((i, k), 1) * max(1e-9, 1 - sure[p, k])
+        scores = seeds | {key: 1 - m for key, m in miss.items()}
+    best = {}
+    for (i, k), score in scores.items():
+        if i not in known and score >= pii.ACCEPT:
+            best[i] = max(best.get(i, (0, "")), (score, k))
+    return {i: k for i, (_, k) in best.items()}
+
+
+def test_discovery_against_plain_loops(spark):
+    rng = random.Random(3)
+    numbers = [f"{rng.randint(1000, 9999)}-{i}" for i in range(40)]
+    texts = []
+    for i in range(400):
+        what = f"+1 555 010 {rng.randint(1000, 1040)}" if i % 2 else f"a{rng.randint(0, 90)}{rng.choice('cde')}@b.example"
+        before = rng.choice(["call me", "see item"] if i % 2 else ["reach us", "see item"])
+        if rng.random() < 0.1:
+            what, before = rng.choice(numbers), rng.choice(["call me", "reach us", "see item", "at row"])
+        texts.append(f"so {before} {what} {rng.choice(['now', 'please', '.'])}")
+    found = pii.discovered(pii.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    wanted = plain_graph(texts)
+    assert wanted and {r["instance"]: r["kind"] for r in found.collect()} == wanted
+
+
+def test_scans_are_linear():
+    times = []
+    for n in (4_000, 16_000):
+        text = "a@b.example 123456 " * n + "x@y.zz," * n
+        began = time.perf_counter()
+        pii.mentions(text, pii.base_spans(text))
+        pii.surrounded(text, lambda w: True, lambda p: False)
+        times.append(time.perf_counter() - began)
+    assert times[1] < 10 * times[0]
+
+
 def test_pii_query(spark):
     texts = {r["doc_id"]: r["text"] for r in documents(spark, SF).collect()}
     for r in pii.op9(spark, SF).collect():
