@@ -123,6 +123,54 @@ def test_forward_backward_by_enumeration():
     assert np.allclose(p, wanted) and np.isclose(expected.sum(), sum(sizes) - 4)
 
 
+def test_field_ascends_its_likelihood():
+    """The gradient of the fit against differences of a likelihood that enumerates all labellings."""
+    rng = np.random.default_rng(4)
+    full, chain, y = rng.normal(size=(7, 3)), np.array([0, 0, 0, 1, 1, 2, 2]), np.array([1.0, 0, 1, 1, 1, 0, 0])
+    x = rng.normal(size=7)
+
+    def likelihood(x):
+        total = 0.0
+        for c in range(3):
+            at = np.flatnonzero(chain == c)
+            score = lambda ys: sum((full[i] @ x[:3]) * v for i, v in zip(at, ys, strict=True)) + sum(x[3:].reshape(2, 2)[int(a), int(b)] for a, b in zip(ys[:-1], ys[1:], strict=True))  # noqa: B023, E731
+            total += score(y[at]) - np.log(sum(np.exp(score(ys)) for ys in itertools.product((0, 1), repeat=len(at))))
+        return total / 7 - quality.DECAY / 2 * (x @ x)
+
+    slopes = [(likelihood(x + e) - likelihood(x - e)) / 2e-5 for e in 1e-5 * np.eye(7)]
+    assert np.allclose(quality.ascent(full, chain, y)(x), slopes, atol=1e-5)
+
+
+def test_chains_hold_every_line():
+    text = np.repeat([0, 1, 2, 5], [1, 64, 65, 200])
+    chain = quality.segments(text)
+    assert np.bincount(chain)[1:].tolist() == [1, 64, 64, 1, 64, 64, 64, 8] and all(len(set(text[chain == c])) == 1 for c in set(chain.tolist()))
+    assert len(quality.segments(np.zeros(0, np.int64))) == 0
+
+
+def test_ftrl_against_a_plain_loop():
+    rng = random.Random(2)
+    rows = [(np.array(sorted(rng.sample(range(30), rng.randint(1, 6))), np.int32), rng.randint(0, 1)) for _ in range(60)]
+    z, n, bias = {}, {}, 1 << toxicity.BITS
+
+    def weight(i):
+        l1 = 0.0 if i == bias else toxicity.L1
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - (l1 if z[i] > 0 else -l1)) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(3):
+        for features, label in rows:
+            at = [*features.tolist(), bias]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - label
+            for i in at:
+                z[i] = z.get(i, 0.0) + g - ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / toxicity.ALPHA * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    found, evidence = toxicity.ftrl(rows, 3)
+    assert all(abs(found[i] - weight(i)) < 1e-9 and abs(evidence[i] - n[i]) < 1e-9 for i in n) and np.count_nonzero(evidence) == len(n)
+
+
 def test_lines():
     texts = [b"Abc de\n\n|x|", b"", b"\n", b"same\nsame"]
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])

@@ -7,13 +7,16 @@ text's quality is a logistic function of the length-weighted evidence of its lin
 
 Only texts carry labels, so the field is fitted in rounds: first each line takes its text's label,
 then lines of bad texts that the field finds good are relabelled, as long as one bad line stays.
-Fitting takes a bounded sample, the ``SAMPLE_ROWS`` labelled rows with the smallest hash, of which
-texts over ``FIT_LINES`` lines are left out; it runs on the driver over their line features, at
-most SAMPLE_ROWS x FIT_LINES short rows. Scoring reads whole texts, in batches, on the executors.
+Fitting takes a bounded sample, the ``SAMPLE_ROWS`` labelled rows with the smallest hash, whole. They
+are dealt to ``LEARNERS`` tasks, each of which fits a field to its texts; the fields' few weights are
+averaged on the driver. For fitting alone, long texts are chains of ``SEGMENT`` lines in a row, all of
+them, so that steps stay short. A last pass counts the evidence of the sample's texts in hundredths,
+per label, and the logistic function is fitted to those counts. Scoring reads whole texts, in batches,
+on the executors.
 
 Cases: null text counts as one empty line; if the labels hold one class only, or none, every text
-gets that class (or 0.5); a null id or label is not used for fitting; repeated documents get equal
-scores; an empty table gives an empty result; extra columns are ignored.
+gets that class (or 0.5); a null id or label is not used for fitting, and of documents that share an
+id one is; repeated documents get equal scores; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm.scratch import written
 from weftline.llm.text import documents, whole
-from weftline.llm.toxicity import fold, sample, training_labels
+from weftline.llm.toxicity import fold, sample, sampled_texts, training_labels
 from weftline.llm.wordhash import NON_SPACE, slices, words
 
-SAMPLE_ROWS, FIT_LINES = 6_000, 400
+SAMPLE_ROWS, LEARNERS, SEGMENT = 6_000, 4, 64
 ROUNDS, STEPS, RATE, DECAY = 3, 120, 0.2, 1e-4
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 4, 2
@@ -176,63 +180,102 @@ def _ascend(gradient, x: np.ndarray, steps: int, rate: float) -> np.ndarray:
     return x
 
 
-def fit_field(text: np.ndarray, size: np.ndarray, own: np.ndarray, labels: np.ndarray) -> Field:
-    """``text``: index of each line's text; ``labels``: of the texts, 0 or 1."""
-    full = with_neighbours(text, own).astype(np.float64)
-    d = full.shape[1]
-    if len(set(labels.tolist())) < 2:
-        only = float(labels[0]) if len(labels) else 0.5
-        return Field(np.zeros(d), np.zeros((2, 2)), 0.0, float(np.clip((only - 0.5) * 12, -6, 6)))
-    y = labels[text].astype(np.float64)
-    n, same = len(text), text[1:] == text[:-1]
-    x = np.zeros(d + 4)
-    for _ in range(ROUNDS):
-        seen = np.array([[np.sum((y[:-1] == a) & (y[1:] == b) & same) for b in (0, 1)] for a in (0, 1)], np.float64)
-        wanted = full.T @ y
+def segments(text: np.ndarray, most: int = SEGMENT) -> np.ndarray:
+    """Lines in chains of at most ``most``: a number for each line's chain."""
+    new = np.concatenate([[True], text[1:] != text[:-1]]) if len(text) else np.zeros(0, bool)
+    place = np.arange(len(text)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(text) else np.zeros(0, np.int64)
+    return np.cumsum(place % most == 0)
+
+
+def ascent(full: np.ndarray, chain: np.ndarray, y: np.ndarray):
+    """The gradient of the mean log-likelihood of labels ``y`` of the lines, less the decay."""
+    d, n, same = full.shape[1], len(chain), chain[1:] == chain[:-1]
+    seen = np.array([[np.sum((y[:-1] == a) & (y[1:] == b) & same) for b in (0, 1)] for a in (0, 1)], np.float64)
+    wanted = full.T @ y
+
+    def gradient(x: np.ndarray) -> np.ndarray:
+        p, expected = marginals(full @ x[:d], chain, x[d:].reshape(2, 2))
+        return np.concatenate([wanted - full.T @ p, (seen - expected).ravel()]) / n - DECAY * x
 
-        def gradient(x, seen=seen, wanted=wanted):
-            p, expected = marginals(full @ x[:d], text, x[d:].reshape(2, 2))
-            return np.concatenate([wanted - full.T @ p, (seen - expected).ravel()]) / n - DECAY * x
+    return gradient
 
-        x = _ascend(gradient, x, STEPS, RATE)
-        good = marginals(full @ x[:d], text, x[d:].reshape(2, 2))[0]
+
+def fit_weights(text: np.ndarray, own: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Weights of the features, then of the transitions. ``text``: index of each line's text; ``labels``: of the texts."""
+    full, chain = with_neighbours(text, own).astype(np.float64), segments(text)
+    d = full.shape[1]
+    y, x = labels[text].astype(np.float64), np.zeros(d + 4)
+    for _ in range(ROUNDS):
+        x = _ascend(ascent(full, chain, y), x, STEPS, RATE)
+        good = marginals(full @ x[:d], chain, x[d:].reshape(2, 2))[0]
         worst = np.ones(len(labels))
         np.minimum.at(worst, text, good)
         y = np.where(labels[text] == 1, 1.0, ((good > 0.5) & (good > worst[text])).astype(float))
-    seen_evidence = evidence(text, size, good, len(labels))
-    target = labels.astype(np.float64)
+    return x
+
+
+def calibrated(seen: np.ndarray, labels: np.ndarray, counts: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept of the logistic function over evidence, by label and count."""
+    share = counts / counts.sum()
 
-    def slope_gradient(x):
-        miss = target - 1 / (1 + np.exp(-np.clip(x[0] * seen_evidence + x[1], -30, 30)))
-        return np.array([np.mean(miss * seen_evidence), np.mean(miss)]) - 1e-3 * x
+    def gradient(x: np.ndarray) -> np.ndarray:
+        miss = (labels - 1 / (1 + np.exp(-np.clip(x[0] * seen + x[1], -30, 30)))) * share
+        return np.array([np.sum(miss * seen), np.sum(miss)]) - 1e-3 * x
 
-    slope, intercept = _ascend(slope_gradient, np.zeros(2), 400, 0.1)
-    return Field(x[:d], x[d:].reshape(2, 2), float(slope), float(intercept))
+    slope, intercept = _ascend(gradient, np.zeros(2), 400, 0.1)
+    return float(slope), float(intercept)
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row: the weights of a task's texts, or none if their labels are all alike."""
+    texts, owns, labels, n = [], [], [], 0
     for batch in batches:
-        labels = batch["label"].to_numpy()
+        labels.append(batch["label"].to_numpy())
         for first, data, offsets in slices(batch["text"]):
-            text, size, own = line_features(data, offsets)
-            kept = np.bincount(text)[text] <= FIT_LINES
-            starts = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]) & kept)
-            counts = np.bincount(text)[text[starts]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(labels[first + text[starts]], pa.int32()), pa.array([size[a : a + c].tobytes() for a, c in zip(starts, counts, strict=True)], pa.binary()), pa.array([own[a : a + c].tobytes() for a, c in zip(starts, counts, strict=True)], pa.binary())],
-                names=["label", "size", "own"],
-            )
-
-
-def fit(docs: DataFrame, labelled: DataFrame) -> Field:
-    chosen = sample(labelled, SAMPLE_ROWS)  # at most SAMPLE_ROWS short rows: broadcast
-    rows = docs.select("doc_id", whole().alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("label").cast("int").alias("label"))
-    found = rows.mapInArrow(_lines, "label int, size binary, own binary").toArrow()
-    sizes = [np.frombuffer(x, np.int64) for x in found["size"].to_pylist()]
-    labels = found["label"].to_numpy()
-    text = np.repeat(np.arange(len(sizes)), [len(x) for x in sizes])
-    own = np.frombuffer(b"".join(found["own"].to_pylist()), np.float32).reshape(-1, OWN)
-    return fit_field(text, np.concatenate(sizes) if sizes else np.zeros(0, np.int64), own, labels)
+            text, _, own = line_features(data, offsets)
+            texts.append(text + n + first)
+            owns.append(own)
+        n += batch.num_rows
+    if n:
+        known = np.concatenate(labels)
+        weights = fit_weights(np.concatenate(texts), np.concatenate(owns), known).tolist() if len(set(known.tolist())) > 1 else None
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([int(known.sum())], pa.int64()), pa.array([weights], pa.list_(pa.float64()))], names=["texts", "good", "weights"])
+
+
+def fit(docs: DataFrame, labelled: DataFrame, learners: int = LEARNERS) -> Field:
+    """``labelled``: ``doc_id, label`` (0 or 1), without the rows to hold out."""
+    d = 3 * OWN
+    rows = written(sampled_texts(docs, sample(labelled, SAMPLE_ROWS)), "quality-sample")
+    dealt = rows.repartition(learners, F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(learners))).sortWithinPartitions("doc_id", "label")
+    found = dealt.select("text", "label").mapInArrow(_learn, "texts long, good long, weights array<double>").collect()  # a row a learner
+    n, good = sum(r["texts"] for r in found), sum(r["good"] for r in found)
+    if good in (0, n):
+        only = good / n if n else 0.5
+        return Field(np.zeros(d), np.zeros((2, 2)), 0.0, float(np.clip((only - 0.5) * 12, -6, 6)))
+    able = [r for r in found if r["weights"] is not None]
+    if not able:  # so few texts that no learner has both labels
+        return fit(docs, labelled, 1)
+    x = np.average([r["weights"] for r in sorted(able, key=lambda r: r["weights"])], axis=0, weights=[r["texts"] for r in sorted(able, key=lambda r: r["weights"])])
+    field = Field(x[:d], x[d:].reshape(2, 2), 1.0, 0.0)
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+    seen = rows.select("label", "text").mapInArrow(_evidence(shared), "label int, hundredths int")
+    counts = sorted(tuple(r) for r in seen.groupBy("label", "hundredths").count().collect())  # evidence lies within 10
+    label, hundredths, count = np.array(counts, np.float64).T
+    field.slope, field.intercept = calibrated(hundredths / 100, label, count)
+    return field
+
+
+def _evidence(field):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros(batch.num_rows)
+            for first, data, offsets in slices(batch["text"]):
+                text, size, own = line_features(data, offsets)
+                n = len(offsets) - 1
+                out[first : first + n] = evidence(text, size, field.value.lines(text, own), n)
+            yield pa.RecordBatch.from_arrays([batch["label"], pa.array(np.round(out * 100).astype(np.int32))], names=["label", "hundredths"])
+
+    return run
 
 
 def _score(field):

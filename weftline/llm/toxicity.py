@@ -10,8 +10,9 @@ dealt by a hash of the id to one task for each ``LEARNER_ROWS`` of them; each ru
 and the learners' weights are averaged, coordinate by coordinate, by the evidence behind them. Rows of the held-out fold are never read for fitting.
 
 Cases: null text counts as empty, and texts without words get the score of the bias alone; if the
-labels hold one class only, or none, scores lean to it (or are 0.5); several labels of one id count
-as several rows; a null id or label is not used for fitting; repeated documents get equal scores;
+labels hold one class only, or none, scores lean to it (or are 0.5); different labels of one id count
+as several rows; of documents that share an id, one is used for fitting; a null id or label is not
+used for fitting; repeated documents get equal scores;
 an empty table gives an empty result; extra columns are ignored (``reject`` keeps them).
 """
 
@@ -118,13 +119,22 @@ def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     return labelled.where("doc_id IS NOT NULL AND label IS NOT NULL").select("doc_id", "label").orderBy(order, "doc_id", "label").limit(rows)
 
 
+def sampled_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``doc_id, label, text, tie`` of a sample; of rows that share an id, the one whose text has the smallest hash.
+
+    ``chosen`` is bounded, and so is the result, however often an id occurs.
+    """
+    rows = docs.select("doc_id", whole().alias("text")).join(F.broadcast(chosen.distinct()), "doc_id")
+    one = rows.groupBy("doc_id", F.col("label").cast("int").alias("label")).agg(F.min(F.struct(F.xxhash64("text").alias("tie"), "text")).alias("row"))
+    return one.select("doc_id", "label", "row.text", "row.tie")
+
+
 def fit(docs: DataFrame, labelled: DataFrame) -> Model:
     """``labelled``: ``doc_id, label`` (0 or 1), without the rows to hold out."""
     chosen = sample(labelled)  # at most SAMPLE_ROWS short rows: broadcast
-    rows = docs.select("doc_id", whole().alias("text")).join(F.broadcast(chosen), "doc_id")
     learners = max(1, chosen.count() // LEARNER_ROWS)
-    dealt = rows.withColumn("learner", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(learners))).repartition(learners, "learner").sortWithinPartitions("doc_id")
-    learned = dealt.select("text", F.col("label").cast("int").alias("label"))
+    dealt = sampled_texts(docs, chosen).withColumn("learner", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(learners))).repartition(learners, "learner").sortWithinPartitions("doc_id", "label")
+    learned = dealt.select("text", "label")
     found = learned.mapInArrow(_learn, "feature long, weight double, evidence double")
     merged = found.groupBy("feature").agg((F.sum(F.col("weight") * F.col("evidence")) / F.sum("evidence")).alias("weight"))
     # Sparse by L1, and at most 2^BITS + 1 rows of eight bytes.
