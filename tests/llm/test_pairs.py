@@ -2,6 +2,7 @@
 
 import random
 import re
+import string
 
 import numpy as np
 import pytest
@@ -330,3 +331,39 @@ def test_copies_within_a_document(spark):
     found = {(r["doc_id"], r["passage_start"], r["passage_end"]) for r in passages.passages(df).collect()}
     assert found == {(1, 50, 150), (1, 200, 300), (2, 50, 100), (2, 150, 250)}
     assert {r["doc_id"]: len(r["text"].split()) for r in passages.without_repeats(df).collect()} == {0: 200, 1: 150, 2: 150}
+
+
+def test_passages_whose_words_came_before_in_parts(spark):
+    """The seeds of a passage first occur in ten documents of 15 of its words each."""
+    rng = random.Random(31)
+    shared = words_of(rng, 80)
+    rows = [(i, " ".join(words_of(rng, 30) + shared[8 * i : 8 * i + 15] + words_of(rng, 30))) for i in range(10)]
+    rows += [(i, " ".join(words_of(rng, 40) + shared + words_of(rng, 40))) for i in (50, 51)]
+    found = [r for r in passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["doc_id"] == 51]
+    assert any(r["other_id"] == 50 and r["end_word"] - r["start_word"] >= 80 for r in found)
+    assert {(r["passage_start"], r["passage_end"]) for r in found} == {(40, 120)}
+
+
+def covered_by_any(texts, least):
+    """Places of words in runs of ``least`` words or more that any other document has, by all pairs."""
+    grams = {}
+    split = {i: t.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)).split() for i, t in texts.items()}
+    for i, w in split.items():
+        for k in range(len(w) - least + 1):
+            grams.setdefault(tuple(w[k : k + least]), set()).add(i)
+    out = {}
+    for i, w in split.items():
+        out[i] = {k + j for k in range(len(w) - least + 1) if len(grams[tuple(w[k : k + least])]) > 1 for j in range(least)}
+    return out
+
+
+def test_recall_of_verbatim_passages_against_all_pairs(spark):
+    """Of the words in runs of MIN_WORDS or more that two documents share, those in passages, on either side."""
+    texts = {r["doc_id"]: r["text"] or "" for r in documents(spark, SF).collect()}
+    found = {i: set() for i in texts}
+    for r in passages.passages(documents(spark, SF)).collect():
+        found[r["doc_id"]] |= set(range(r["start_word"], r["end_word"]))
+        found[r["other_id"]] |= set(range(r["other_start"], r["other_end"]))
+    wanted = covered_by_any(texts, passages.MIN_WORDS)
+    hit, total = sum(len(wanted[i] & found[i]) for i in texts), sum(map(len, wanted.values()))
+    assert total > 500 and hit / total >= 0.99, (hit, total)
