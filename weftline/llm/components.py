@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.scratch import written
+from weftline.llm.scratch import forget, written
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -31,6 +31,7 @@ def connected(edges: DataFrame) -> DataFrame:
     while True:
         following = written(_stars(found), "edges")
         changed = following.join(found, ["a", "b"], "left_anti").limit(1).count() or found.join(following, ["a", "b"], "left_anti").limit(1).count()
+        forget(found)  # no later action reads it
         found = following
         if not changed:
             return found.select(F.col("a").alias("node"), F.col("b").alias("root"))

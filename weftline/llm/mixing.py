@@ -56,7 +56,8 @@ def rates(docs: DataFrame, weights: dict[str, float], default_weight: float = 1.
     known = F.create_map(*[x for k, w in sorted(weights.items()) for x in (F.lit("s" + k), F.lit(float(w)))]) if weights else None
     weight = F.coalesce(F.try_element_at(known, "weftline_key"), F.lit(float(default_weight))) if weights else F.lit(float(default_weight))
     mass = mass.withColumn("weight", weight)
-    total = mass.agg(F.sum("weight").alias("all_weight"), F.sum("mass").alias("all_mass"))
+    # Decimals add up alike in any order.
+    total = mass.agg(F.sum(F.col("weight").cast("decimal(38,12)")).cast("double").alias("all_weight"), F.sum("mass").alias("all_mass"))
     target = F.lit(float(budget)) if budget is not None else F.col("all_mass")
     rated = mass.crossJoin(F.broadcast(total)).withColumn("rate", F.col("weight") / F.col("all_weight") * target / F.col("mass"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / F.lit(MAX_RATE))).cast("int")

@@ -29,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.llm import golay
@@ -111,20 +110,21 @@ def _near(a, b):
 def links(fps: DataFrame) -> DataFrame:
     """``(node, root)`` over distinct fingerprints: components of those within RADIUS bits."""
     keyed = fps.select("fp").mapInArrow(_keys, "key long, fp long")
-    bucket = W.partitionBy("key")
-    ranged = keyed.withColumn("low", F.min("fp").over(bucket)).withColumn("high", F.max("fp").over(bucket))
-    shared = written(ranged.where("low < high").select("key", "fp", "low"), "buckets")
+    # Aggregates are combined before they are shuffled, and a join with their few rows can be split
+    # where a bucket is crowded; a window could not.
+    ends = keyed.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("key", "low")
+    shared = written(keyed.join(written(ends, "shared-keys").hint("merge"), "key"), "buckets")
     stars = shared.where((F.col("fp") != F.col("low")) & _near("fp", "low")).select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
     first = connected(stars)
     label = F.coalesce("root", "fp").alias("part")
-    labelled = shared.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", label)
+    labelled = written(shared.join(first.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("key", "fp", label), "labelled")
     # Buckets that still hold more than one component.
-    open_ = labelled.withColumn("least", F.min("part").over(bucket)).withColumn("most", F.max("part").over(bucket)).where("least < most").select("key", "fp", "part")
-    open_ = written(open_, "open-buckets")
+    mixed = labelled.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("key")
+    open_ = written(labelled.join(mixed.hint("merge"), "key", "left_semi"), "open-buckets")
     sizes = open_.groupBy("key", "part").count()
     common = sizes.groupBy("key").agg(F.max_by("part", F.struct("count", "part")).alias("common"))
-    few = open_.join(common, "key").where("part <> common").select("key", F.col("fp").alias("x"), F.col("part").alias("a"))
-    pairs = few.join(open_.withColumnRenamed("part", "b"), "key").where((F.col("a") != F.col("b")) & _near("x", "fp")).select("a", "b").distinct()
+    few = open_.join(common.hint("merge"), "key").where("part <> common").select("key", F.col("fp").alias("x"), F.col("part").alias("a"))
+    pairs = few.join(open_.withColumnRenamed("part", "b").hint("merge"), "key").where((F.col("a") != F.col("b")) & _near("x", "fp")).select("a", "b").distinct()
     between = written(pairs, "between")
     if not between.limit(1).count():
         return first
