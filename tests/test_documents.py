@@ -1,7 +1,10 @@
 import json
+import re
+from html.parser import HTMLParser
 
 import pytest
 
+from weftline.functions import markup
 from weftline.functions.markup import decoded, html_paragraphs, markdown_paragraphs, notebook_paragraphs
 from weftline.operators import document
 
@@ -94,3 +97,76 @@ def test_a_canary_survives_every_document_format(spark):
         back = office.read_documents(office.write_documents(paragraphs, kind)).orderBy("pos").collect()
         assert [(r["text"], r["style"]) for r in back] == [("Top", "heading"), ("the canary sings", "body"), ("one", "bullet")]
     assert office.read_documents(spark.createDataFrame([(1, bytearray(b"junk"))], "doc long, content binary")).count() == 0
+
+
+class Plainly(HTMLParser):
+    """Another reading of a page, by the standard library's parser and a stack of open tags."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=False)
+        self.out, self.text, self.stack, self.item, self.skip = [], "", [], None, 0
+
+    def cut(self):
+        tags = [t for t, _ in self.stack]
+        headings = [t for t in tags if t[0] == "h"]
+        style = ("code", 0, 0) if "pre" in tags else ("heading", int(headings[-1][1]), 0) if headings else self.item or (("quote" if "blockquote" in tags else "body"), 0, 0)
+        text = self.text.strip("\n") if style[0] == "code" else " ".join(self.text.split())
+        self.out += [(text, *style)] if text else []
+        self.text = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in markup.OPAQUE:
+            self.cut()
+            self.skip += 1
+        elif tag in ("td", "th"):
+            self.text += " "
+        elif re.fullmatch("h[1-6]", tag) or tag in ("ul", "ol", "li", "pre", "blockquote") or tag in markup.BLOCK:
+            self.cut()
+            if tag[0] == "h" and tag[1:].isdigit():
+                self.stack = [x for x in self.stack if x[0][0] != "h"]
+            if tag == "li":
+                lists = [x for x in self.stack if x[0] in ("ul", "ol")]
+                self.item = ("bullet", max(0, len(lists) - 1), 0)
+                if lists and lists[-1][0] == "ol":
+                    lists[-1][1] += 1
+                    self.item = ("ordered", len(lists) - 1, lists[-1][1])
+            elif tag not in markup.BLOCK:
+                self.stack.append([tag, 0])
+
+    def handle_endtag(self, tag):
+        if tag in markup.OPAQUE:
+            self.skip = max(0, self.skip - 1)
+        elif re.fullmatch("h[1-6]", tag) or tag in ("ul", "ol", "li", "pre", "blockquote", "body", "html") or tag in markup.BLOCK:
+            self.cut()
+            if tag[0] == "h" and tag[1:].isdigit():
+                self.stack = [x for x in self.stack if not re.fullmatch("h[1-6]", x[0])]
+            else:
+                found = [i for i, x in enumerate(self.stack) if x[0] == tag or (tag in ("ul", "ol") and x[0] in ("ul", "ol"))]
+                self.stack = self.stack[: found[-1]] + self.stack[found[-1] + 1 :] if found else self.stack
+            if tag in ("li", "ul", "ol"):
+                self.item = None
+
+    def handle_data(self, data):
+        self.text += "" if self.skip else data
+
+    def handle_entityref(self, name):
+        self.handle_data(decoded(f"&{name};"))
+
+    def handle_charref(self, name):
+        self.handle_data(decoded(f"&#{name};"))
+
+
+def test_pages_against_another_reader(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()
+    for row in pages:
+        other = Plainly()
+        other.feed(row["html"])
+        other.close()
+        other.cut()
+        assert html_paragraphs(row["html"]) == other.out
+
+
+def test_deep_pages_stay_linear():
+    assert html_paragraphs("<ul>" * 30_000 + "<li>x")[0] == ("x", "bullet", 255, 0)
+    assert html_paragraphs("<blockquote>" * 30_000 + "</blockquote>" * 29_999 + "q</blockquote>b") == [("q", "quote", 0, 0), ("b", "body", 0, 0)]
+    assert html_paragraphs("<h1>a<h2>b</h2>c<pre> x\n</pre><script>y") == [("a", "heading", 1, 0), ("b", "heading", 2, 0), ("c", "body", 0, 0), (" x", "code", 0, 0)]

@@ -137,7 +137,7 @@ def md_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of the documents, prefixed by turns so that all rules occur."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     starts = F.array(*[F.lit(x) for x in ("", "# ", "- ", "-3", "12. ", "1975 ", "> ", "  * ", "|", "3) ")])
-    return lines.withColumn("line", F.concat(F.element_at(starts, (F.pmod("pos", F.lit(10)) + 1).cast("int")), F.substring("line", 1, 40))).select("doc_id", "pos", markdown_escape(F.col("line")).alias("escaped"))
+    return lines.withColumn("line", F.concat(F.element_at(starts, (F.pmod("pos", F.lit(10)) + 1).cast("int")), F.col("line"))).select("doc_id", "pos", markdown_escape(F.col("line")).alias("escaped"))
 
 
 def md_escape_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +194,7 @@ ORACLES = {
     "html_escape": "SELECT page_id, md5(regexp_replace(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;'), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g')) AS digest FROM pages",
     "md_escape": r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
-p AS (SELECT doc_id, pos, ['', '# ', '- ', '-3', '12. ', '1975 ', '> ', '  * ', '|', '3) '][pos % 10 + 1] || substr(line, 1, 40) AS line FROM l)
+p AS (SELECT doc_id, pos, ['', '# ', '- ', '-3', '12. ', '1975 ', '> ', '  * ', '|', '3) '][pos % 10 + 1] || line AS line FROM l)
 SELECT doc_id, pos::INTEGER AS pos, CASE WHEN regexp_matches(line, '^[ \t]*([#>`~|]|[-*+] |[0-9]+[.)] )') THEN regexp_replace(line, '^([ \t]*)', '\1\\') ELSE line END AS escaped FROM p""",
     "md_escape_lines": r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),

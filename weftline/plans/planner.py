@@ -1,7 +1,8 @@
 """Planning: requests joined to the ordered route table, first route whose requirements hold wins.
 
-Everything is one DataFrame pipeline: a broadcast join on (source, target), a requirement test per
-route, ``min_by`` on the route's order among those that hold, and a CASE that explains a refusal.
+Everything is one DataFrame pipeline without a shuffle of requests: a broadcast join with the ordered
+routes of each (source, target), a requirement test per route, the first of those that hold, and a
+CASE that explains a refusal.
 Guards come before the table: polyglots, unknown inputs, then routes, then the class ceiling. A
 request always comes back with steps or with a reason, never with neither.
 """
@@ -33,15 +34,14 @@ def plan(requests: DataFrame, available: dict[str, bool] | None = None) -> DataF
     ready = [e for e, ok in (available or catalog.ENGINES).items() if ok]
     engines = F.array(*[F.lit(e) for e in ready]) if ready else F.array().cast("array<string>")
     carries = F.array(*[F.lit(f"{c}/{k}/{x}") for k, t in (("video", catalog.VIDEO_CARRY), ("audio", catalog.AUDIO_CARRY)) for c, xs in t.items() for x in xs])
-    routes = catalog.routes(spark)
+    option = F.struct("ord", "class", "requires", F.array_append(F.col("via"), F.col("target")).alias("steps"))
+    routes = catalog.routes(spark).groupBy("source", "target").agg(F.array_sort(F.collect_list(option)).alias("options"))  # a row a pair, at most 2,450
     joined = requests.join(F.broadcast(routes), ["source", "target"], "left")
-    failed = F.filter("requires", lambda r: ~holds(r, engines, carries, F.col("target"), F.col("video"), F.col("audio")))
-    tested = joined.withColumn("failed", failed).withColumn("ok", F.col("ord").isNotNull() & (F.size("failed") == 0))
-    route = F.struct("class", F.array_append(F.col("via"), F.col("target")).alias("steps"))
-    picked = tested.groupBy("req_id").agg(
-        F.first("source").alias("source"), F.first("target").alias("target"), F.first("polyglot").alias("polyglot"), F.first("ceiling").alias("ceiling"),
-        F.min_by(F.when(F.col("ok"), route), F.when(F.col("ok"), F.col("ord"))).alias("route"),
-        F.min_by(F.element_at("failed", 1), F.when(~F.col("ok"), F.col("ord"))).alias("unmet"), F.count("ord").alias("candidates"),
+    unmet = lambda o: F.filter(o["requires"], lambda r: ~holds(r, engines, carries, F.col("target"), F.col("video"), F.col("audio")))
+    tested = joined.withColumn("tested", F.transform("options", lambda o: F.struct(o["class"].alias("class"), o["steps"].alias("steps"), F.try_element_at(unmet(o), F.lit(1)).alias("unmet"))))
+    picked = tested.select(
+        "req_id", "source", "target", "polyglot", "ceiling", F.try_element_at(F.filter("tested", lambda o: o["unmet"].isNull()), F.lit(1)).alias("route"),
+        F.try_element_at("tested", F.lit(1))["unmet"].alias("unmet"), F.coalesce(F.size("tested"), F.lit(0)).alias("candidates"),
     )
     kinds = catalog.formats(spark).select("id", "kind")
     known = picked.join(F.broadcast(kinds.select(F.col("id").alias("source"), F.col("kind").alias("source_kind"))), "source", "left").join(F.broadcast(kinds.select(F.col("id").alias("target"), F.col("kind").alias("target_kind"))), "target", "left")
