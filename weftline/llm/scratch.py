@@ -22,9 +22,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """The same rows, read back from a Parquet table in the shared folder."""
+    """The same rows, read back from a Parquet table in the shared folder.
+
+    The shuffle files behind a written table are of no more use. Spark deletes those that no object
+    of the driver refers to, but only after a collection there, so one is asked for.
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.options(**{"compression": "zstd"} | options).parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
