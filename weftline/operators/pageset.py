@@ -7,6 +7,7 @@ part, expand to a sequence, sort and deduplicate. A wrong part gives an error te
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.plans.catalog import sql_values
@@ -61,6 +62,21 @@ def reorder(pages: DataFrame, order: Column) -> DataFrame:
 
 
 #: Lines per page when a text is read as pages.
+def merge(pages: DataFrame, group: str, order: str) -> DataFrame:
+    """``group, order, page`` to one page set per group: all pages of its sources, in order, as ``place`` from 1.
+
+    Counts per source are summed over the sources; pages themselves are never put in order.
+    """
+    counts = pages.groupBy(group, order).agg(F.max("page").alias("have"))
+    before = F.coalesce(F.sum("have").over(W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(group, order, before.alias("before"))
+    return pages.join(starts, [group, order]).withColumn("place", F.col("page") + F.col("before")).drop("before")
+
+
+def page_count(pages: DataFrame, *keys: str) -> DataFrame:
+    return pages.groupBy(*keys).agg(F.count("*").alias("pages"))
+
+
 PAGE_LINES = 2
 SPECS = [(1, "1-3,7"), (2, "2-"), (3, "3,1,1-2"), (4, "-3"), (5, "9-"), (6, ",,"), (7, "1"), (8, "2-2, 4 - 5"), (9, "x"), (10, "5-2"), (11, "0-1")]
 
@@ -108,9 +124,23 @@ def page_rotate_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turned.groupBy("doc_id", "turn").agg(F.array_join(F.array_sort(F.collect_list("page")).cast("array<string>"), ",").alias("pages"))
 
 
+def page_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ten documents by id merged into one: where each of their pages comes to be."""
+    pages = _pages_of(spark, sf_dir).select(F.floor(F.col("doc_id") / 10).alias("merged"), "doc_id", F.explode(F.sequence(F.lit(1), F.col("have"))).alias("page"))
+    return merge(pages, "merged", "doc_id").select("merged", "doc_id", "page", "place")
+
+
+def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _pages_of(spark, sf_dir).select("doc_id", F.explode(F.sequence(F.lit(1), F.col("have"))).alias("page"))
+    return page_count(pages, "doc_id")
+
+
 _HAVE = "SELECT doc_id, ceil(len(string_split(text, chr(10))) / 2.0)::INTEGER AS have FROM documents"
-QUERIES = {"page_spec": page_spec, "page_complement": page_complement, "page_split_every": page_split_every, "page_split_boundaries": page_split_boundaries, "page_reorder": page_reorder, "page_rotate_crop": page_rotate_crop}
+QUERIES = {"page_spec": page_spec, "page_complement": page_complement, "page_split_every": page_split_every, "page_split_boundaries": page_split_boundaries, "page_reorder": page_reorder, "page_rotate_crop": page_rotate_crop, "page_merge": page_merge, "page_counts": page_counts}
 ORACLES = {
+    "page_merge": f"""
+SELECT doc_id // 10 AS merged, doc_id, page::INTEGER AS page, row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id, page) AS place FROM (SELECT doc_id, unnest(range(1, have + 1)) AS page FROM ({_HAVE}))""",
+    "page_counts": f"SELECT doc_id, have::BIGINT AS pages FROM ({_HAVE}) WHERE have > 0",
     "page_spec": f"""
 WITH h AS ({_HAVE}), s AS (SELECT * FROM {sql_values(SPECS, 'spec_id, spec')}),
 p AS (SELECT doc_id, spec_id, have, unnest(string_split(spec, ',')) AS raw, generate_subscripts(string_split(spec, ','), 1) AS i FROM h, s),

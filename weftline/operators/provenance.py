@@ -7,9 +7,9 @@ with the last completed entry of each source whose output still exists.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.operators.prefix import running_sum
 from weftline.session import table
 
 JOURNAL = "source_name string, content_id string, plan_hash decimal(20,0), output_name string, outcome string, reason string, output_bytes long, receipt_path string, source_folder string, suggested string, suggested_score double, chosen_rank int"
@@ -38,9 +38,13 @@ def resume(files: DataFrame, journal: DataFrame, order: Column, outputs: DataFra
 
 
 def within_budget(entries: DataFrame, group: str, order: str, size: str, limit: int) -> DataFrame:
-    """Entries with a running total and whether it is within the limit; the first beyond it refuses the group."""
-    running = F.sum(size).over(W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    return entries.withColumn("running", running).withColumn("admitted", F.col("running") <= limit)
+    """Entries with a running total and whether it is within the limit, in order of a whole number."""
+    return running_sum(entries, group, order, F.col(size), "running").withColumn("admitted", F.col("running") <= limit)
+
+
+def refused(entries: DataFrame, group: str, order: str) -> DataFrame:
+    """Groups that the limit refuses as a whole, each with the first entry beyond it."""
+    return entries.where(~F.col("admitted")).groupBy(group).agg(F.min(order).alias("at"))
 
 
 def batch_summary(journal: DataFrame, batch: str) -> DataFrame:
@@ -86,6 +90,10 @@ def budget_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "source", "running", "admitted")
 
 
+def budget_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refused(budget_running(spark, sf_dir), "source", "doc_id")
+
+
 def journal_batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch_summary(_journal(spark, sf_dir), "user_id")
 
@@ -114,13 +122,14 @@ def stem_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.join(outputs, ["user_id", "stem"]).groupBy("user_id").agg(F.count("*").alias("pattern"))
 
 
-QUERIES = {"resume_anti": resume_anti, "budget_running": budget_running, "journal_batch_summary": journal_batch_summary, "receipts_page": receipts_page, "batch_manifest": batch_manifest, "sibling_semi": sibling_semi, "stem_pattern_intersect": stem_pattern}
+QUERIES = {"resume_anti": resume_anti, "budget_running": budget_running, "budget_refused": budget_refused, "journal_batch_summary": journal_batch_summary, "receipts_page": receipts_page, "batch_manifest": batch_manifest, "sibling_semi": sibling_semi, "stem_pattern_intersect": stem_pattern}
 ORACLES = {
     "resume_anti": f"""
 WITH j AS ({_JOURNAL}), l AS (SELECT source_name, arg_max(outcome, event_id) AS outcome, arg_max(output_name, event_id) AS output_name FROM j GROUP BY 1),
 d AS (SELECT source_name FROM l WHERE outcome = 'completed' AND output_name IN (SELECT output_name FROM j WHERE NOT ends_with(source_name, 'click')))
 SELECT DISTINCT source_name FROM j WHERE source_name NOT IN (SELECT source_name FROM d)""",
     "budget_running": "SELECT doc_id, source, running::BIGINT AS running, running <= 50000 AS admitted FROM (SELECT doc_id, source, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS running FROM documents)",
+    "budget_refused": "SELECT source, min(doc_id) AS at FROM (SELECT doc_id, source, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS running FROM documents) WHERE running > 50000 GROUP BY source",
     "journal_batch_summary": f"""SELECT user_id, count(*) FILTER (outcome = 'completed') AS converted, count(*) FILTER (outcome = 'failed') AS failed, count(*) FILTER (outcome = 'skipped') AS skipped,
   coalesce(sum(output_bytes) FILTER (outcome = 'completed'), 0)::BIGINT AS bytes_out FROM ({_JOURNAL}) GROUP BY user_id""",
     "receipts_page": f"SELECT event_id, source_name, outcome FROM ({_JOURNAL}) ORDER BY event_id DESC LIMIT 50 OFFSET 50",

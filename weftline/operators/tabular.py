@@ -108,16 +108,35 @@ def grid_json(cells: DataFrame) -> DataFrame:
     return rows.groupBy("sheet").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("row", "cells"))), lambda r: r["cells"])).alias("grid"))
 
 
+def sheet_rows(cells: DataFrame) -> DataFrame:
+    """``doc, sheet, row, col`` and typed values to ``doc, row, values``: the first sheet of each workbook as a full grid of strings.
+
+    The grid spans the rows and columns in use, gaps are empty strings, and rows count from 0.
+    """
+    kept = cells.select("doc", "sheet", "row", "col", cell_text(F.col("type"), F.col("str"), F.col("num"), F.col("bool")).alias("text"))
+    sheets = kept.groupBy("doc", "sheet").agg(*[f(x).alias(f"{n}_{x}") for x in ("row", "col") for n, f in (("first", F.min), ("last", F.max))])
+    first = sheets.groupBy("doc").agg(F.min_by(F.struct("*"), "sheet").alias("s")).select("doc", "s.sheet", "s.first_row", "s.last_row", "s.first_col", "s.last_col")
+    rows = kept.groupBy("doc", "sheet", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("found"))
+    grid = first.withColumn("row", F.explode(F.sequence("first_row", "last_row"))).join(rows, ["doc", "sheet", "row"], "left")
+    values = F.transform(F.sequence("first_col", "last_col"), lambda c: F.coalesce(F.try_element_at("found", c), F.lit("")))
+    return grid.select("doc", (F.col("row") - F.col("first_row")).alias("row"), values.alias("values"))
+
+
+def sheet_csv(cells: DataFrame) -> DataFrame:
+    """``doc, row, line``: the first sheet of each workbook as CSV lines."""
+    return sheet_rows(cells).select("doc", "row", csv_line(F.col("values")).alias("line"))
+
+
 # -- queries ---------------------------------------------------------------------------------
 
 
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers of each segment written as a CSV file with odd names, and read back as fields."""
+    """Customers of each segment written as CSV files with odd names, a thousand ids a file, and read back as fields."""
     odd = F.concat(F.col("c_name"), F.when(F.col("c_custkey") % 3 == 0, F.lit(', "the\nsecond"')).otherwise(""))
-    lines = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("file"), "c_custkey", csv_line(F.array(F.col("c_custkey").cast("string"), odd, F.col("c_nationkey").cast("string"))).alias("line"))
+    lines = table(spark, sf_dir, "customer").select(F.concat_ws("/", "c_mktsegment", F.floor(F.col("c_custkey") / 1000).cast("string")).alias("file"), "c_custkey", csv_line(F.array(F.col("c_custkey").cast("string"), odd, F.col("c_nationkey").cast("string"))).alias("line"))
     files = lines.groupBy("file").agg(F.concat(F.lit("key,name,nation\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "line"))), lambda r: r["line"]), "\n")).alias("content"))
     fields = csv_fields(csv_cells(files))
-    return fields.groupBy("file", "row").agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in ("key", "name", "nation")]).drop("row")
+    return fields.groupBy("file", "row").agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in ("key", "name", "nation")]).drop("row").withColumn("file", F.regexp_replace("file", "/[0-9]+$", ""))
 
 
 def csv_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.operators.prefix import running_sum
 from weftline.session import table
 
 
@@ -52,8 +53,9 @@ def peaks(frames: DataFrame, buckets: int = 96) -> DataFrame:
     Bucket b holds frames from b*F/B to the larger of (b+1)*F/B and its start plus one, in whole
     numbers. A frame finds its buckets by that rule, so no range join is needed.
     """
-    sized = frames.withColumn("n", F.max("frame").over(W.partitionBy("track")) + 1)
-    by_frame = sized.groupBy("track", "frame", "n").agg(F.max(F.abs("v")).alias("v"))
+    lengths = frames.groupBy(F.col("track").alias("of")).agg((F.max("frame") + 1).alias("n"))
+    loudest = frames.groupBy("track", "frame").agg(F.max(F.abs("v")).alias("v"))
+    by_frame = loudest.join(lengths, F.col("track").eqNullSafe(F.col("of"))).drop("of")
     low = F.expr(f"CAST(floor((frame * {buckets}L) / n) AS BIGINT)")
     high = F.expr(f"least({buckets - 1}L, CAST(floor(((frame + 1) * {buckets}L - 1) / n) AS BIGINT))")
     spread = by_frame.withColumn("bucket", F.explode(F.sequence(low, high)))
@@ -105,8 +107,8 @@ def cadence_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def peaks_96(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    frame = F.row_number().over(W.partitionBy("event_type").orderBy("event_id")) - 1
-    values = events.select(F.col("event_type").alias("track"), frame.cast("long").alias("frame"), (F.coalesce("value", F.lit(0.0)) / 500).alias("v"))
+    numbered = running_sum(events, "event_type", "event_id", F.lit(1), "nth")
+    values = numbered.select(F.col("event_type").alias("track"), (F.col("nth") - 1).alias("frame"), (F.coalesce("value", F.lit(0.0)) / 500).alias("v"))
     return peaks(values)
 
 

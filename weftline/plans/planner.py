@@ -57,6 +57,30 @@ def plan(requests: DataFrame, available: dict[str, bool] | None = None) -> DataF
     return done.select("req_id", "source", "target", F.when(F.col("reason").isNull(), F.col("route.class")).alias("class"), F.when(F.col("reason").isNull(), F.array_join("route.steps", ">")).alias("steps"), "reason")
 
 
+#: Warnings that leave a plan without steps.
+BLOCKING = ("Polyglot", "AboveAutoClass", "NoRoute")
+
+
+def warned(plans: DataFrame, declared: Column | None = None) -> DataFrame:
+    """Plans with ``warnings``, ``blocked`` and ``executable``; ``declared`` is the format that the name claims.
+
+    A claim that the bytes deny and a loss of quality warn only; the others come with no steps.
+    """
+    mismatch = F.when(declared.isNotNull() & (declared != F.col("source")), "TypeMismatch") if declared is not None else F.lit(None).cast("string")
+    refusal = F.when(F.col("reason") == "Polyglot", "Polyglot").when(F.startswith("reason", F.lit("ClassCeiling")), "AboveAutoClass").when(F.col("reason").isNotNull(), "NoRoute")
+    loss = F.when(F.col("reason").isNull() & (F.col("class") > "A"), F.concat(F.lit("Lossy:"), F.col("class")))
+    found = plans.withColumn("warnings", F.array_compact(F.array(mismatch, refusal, loss)))
+    blocked = F.exists("warnings", lambda w: w.isin(*BLOCKING))
+    return found.withColumn("blocked", blocked).withColumn("executable", ~F.col("blocked") & F.col("steps").isNotNull())
+
+
+def needs_worker(source: Column, source_kind: Column, target: Column, target_kind: Column) -> Column:
+    """Whether a conversion must leave the process: text, documents, drawings, decoded media and AVIF."""
+    documents = ((source_kind == "document") | (target_kind == "document")) & (source_kind != "image")
+    decoded = (source_kind == "video") & ((target_kind == "video") | ((target_kind == "audio") & (target != "Mka")))
+    return (target == "Txt") | documents | (source == "Svg") | decoded | (target == "Avif")
+
+
 #: Class that a named target arms by itself: text from media is generative, other formats are rebuilt.
 def armed_class(target: Column) -> Column:
     return F.when(target == "Txt", "D").otherwise("C")
@@ -105,6 +129,20 @@ def enumerate_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ready.where("reason IS NULL").groupBy("source").agg(F.count("*").alias("targets"), F.max("class").alias("worst_class"))
 
 
+def plan_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warnings of every pair under ceiling B, where the name claims a picture by turns."""
+    claimed = F.when(F.pmod("req_id", F.lit(4)) == 0, F.lit("Png"))
+    found = warned(plan(_pairs(spark).withColumn("ceiling", F.lit("B")), dict.fromkeys(catalog.ENGINES, True)), claimed)
+    return found.select("req_id", F.array_join("warnings", ",").alias("warnings"), "blocked", "executable")
+
+
+def worker_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes by whether they need a worker."""
+    kinds = catalog.formats(spark).select("id", "kind")
+    ends = catalog.routes(spark).join(F.broadcast(kinds.selectExpr("id AS source", "kind AS source_kind")), "source").join(F.broadcast(kinds.selectExpr("id AS target", "kind AS target_kind")), "target")
+    return ends.select("class", needs_worker(*map(F.col, ("source", "source_kind", "target", "target_kind"))).alias("worker")).groupBy("class", "worker").agg(F.count("*").alias("routes"))
+
+
 def route_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.routes(spark).groupBy("class").agg(F.count("*").alias("routes"), F.count_distinct("source", "target").alias("pairs"))
 
@@ -141,12 +179,19 @@ _PAIRS_SQL = """SELECT s.i * 100 + t.i AS req_id, s.id AS source, t.id AS target
 _PAGES_SQL = f"SELECT page_id AS req_id, {_sql_format('html')} AS source, ['Markdown', 'Txt', 'Pdf', 'Csv', 'Mp4'][page_id % 5 + 1] AS target, NULL::VARCHAR AS video, NULL::VARCHAR AS audio FROM pages"
 _ALL, _OWN = list(catalog.ENGINES), [e for e, ok in catalog.ENGINES.items() if ok]
 
-QUERIES = {"plan_pages": plan_pages, "plan_first_match": plan_first_match, "plan_refusals": plan_refusals, "plan_class_ceiling": plan_class_ceiling, "codec_carry_matrix": codec_carry_matrix, "enumerate_targets": enumerate_targets, "route_classes": route_classes}
+QUERIES = {"plan_pages": plan_pages, "plan_first_match": plan_first_match, "plan_refusals": plan_refusals, "plan_class_ceiling": plan_class_ceiling, "codec_carry_matrix": codec_carry_matrix, "enumerate_targets": enumerate_targets, "route_classes": route_classes, "plan_warnings": plan_warnings, "worker_needs": worker_needs}
 ORACLES = {
     "plan_pages": _plan_sql(_PAGES_SQL, _OWN, "C") + "SELECT * FROM planned",
     "plan_first_match": _plan_sql(_PAIRS_SQL, _ALL, "D") + "SELECT * FROM planned",
     "plan_refusals": _plan_sql(_PAIRS_SQL, _OWN, "D") + "SELECT reason, count(*) AS requests FROM planned GROUP BY reason",
     "plan_class_ceiling": _plan_sql(_PAIRS_SQL, _ALL, "B") + "SELECT req_id, source, target, reason FROM planned WHERE reason LIKE 'ClassCeiling%'",
+    "plan_warnings": _plan_sql(_PAIRS_SQL, _ALL, "B") + """, w AS (SELECT req_id, steps, reason, class, CASE WHEN req_id % 4 = 0 AND source <> 'Png' THEN 'TypeMismatch' END AS m FROM planned)
+SELECT req_id, concat_ws(',', m, CASE WHEN reason LIKE 'ClassCeiling%' THEN 'AboveAutoClass' WHEN reason IS NOT NULL THEN 'NoRoute' WHEN class > 'A' THEN 'Lossy:' || class END) AS warnings,
+  reason IS NOT NULL AS blocked, reason IS NULL AS executable FROM w""",
+    "worker_needs": f"""
+WITH f AS (SELECT * FROM {catalog.sql_values([(r[1], r[2]) for r in catalog.format_rows()], 'id, kind')}), r AS (SELECT * FROM {catalog.sql_values(catalog.route_rows(), 'ord, source, target, class, requires, via')})
+SELECT class, target = 'Txt' OR target = 'Avif' OR source = 'Svg' OR (s.kind <> 'image' AND 'document' IN (s.kind, t.kind)) OR (s.kind = 'video' AND (t.kind = 'video' OR (t.kind = 'audio' AND target <> 'Mka'))) AS worker, count(*) AS routes
+FROM r JOIN f s ON s.id = source JOIN f t ON t.id = target GROUP BY 1, 2""",
     "codec_carry_matrix": f"SELECT container, stream, string_agg(DISTINCT codec, ',' ORDER BY codec) AS codecs FROM {catalog.sql_values([(c, k, x) for k, t in (('video', catalog.VIDEO_CARRY), ('audio', catalog.AUDIO_CARRY)) for c, xs in t.items() for x in xs], 'container, stream, codec')} GROUP BY 1, 2",
     "enumerate_targets": _plan_sql(_PAIRS_SQL, _OWN, "D") + "SELECT source, count(*) AS targets, max(class) AS worst_class FROM planned WHERE reason IS NULL GROUP BY source",
     "route_classes": f"SELECT class, count(*) AS routes, count(DISTINCT source || '>' || target) AS pairs FROM {catalog.sql_values(catalog.route_rows(), 'ord, source, target, class, requires, via')} GROUP BY class",

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import markup
 from weftline.operators.document import PARAGRAPHS, _pages, html_paragraphs
+from weftline.operators.tabular import sheet_csv
 from weftline.session import table
 
 CELLS = "doc long, sheet int, sheet_name string, row int, col int, type string, str string, num double, bool boolean"
@@ -324,16 +325,35 @@ def odt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def xlsx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as a workbook per nation, written and read back."""
+    """Suppliers as workbooks of a nation, a thousand ids each, written and read back."""
     s = table(spark, sf_dir, "supplier")
     cell = lambda col, kind, text, num, flag: F.struct(F.lit(col).alias("col"), F.lit(kind).alias("type"), text.cast("string").alias("str"), num.cast("double").alias("num"), flag.cast("boolean").alias("bool"))
     none = F.lit(None)
-    cells = s.select(F.col("s_nationkey").cast("long").alias("doc"), F.lit(0).alias("sheet"), F.lit("suppliers").alias("sheet_name"), F.col("s_suppkey").cast("int").alias("row"), F.explode(F.array(cell(0, "text", F.col("s_name"), none, none), cell(1, "number", none, F.col("s_acctbal"), none), cell(28, "bool", none, none, F.col("s_acctbal") > 0))).alias("c"))
-    return read_workbooks(write_workbooks(cells.select("doc", "sheet", "sheet_name", "row", "c.*"))).select("doc", "row", "col", "type", "str", "num", "bool")
+    part = F.col("s_nationkey").cast("long") * (1 << 40) + F.floor(F.col("s_suppkey") / 1000)
+    cells = s.select(part.alias("doc"), F.lit(0).alias("sheet"), F.lit("suppliers").alias("sheet_name"), F.col("s_suppkey").cast("int").alias("row"), F.explode(F.array(cell(0, "text", F.col("s_name"), none, none), cell(1, "number", none, F.col("s_acctbal"), none), cell(28, "bool", none, none, F.col("s_acctbal") > 0))).alias("c"))
+    return read_workbooks(write_workbooks(cells.select("doc", "sheet", "sheet_name", "row", "c.*"))).select(F.expr("doc div (1L << 40)").alias("doc"), "row", "col", "type", "str", "num", "bool")
 
 
-QUERIES = {"docx_roundtrip": docx_roundtrip, "odt_roundtrip": odt_roundtrip, "xlsx_roundtrip": xlsx_roundtrip}
+def convert_workbooks(files: DataFrame) -> DataFrame:
+    """``(doc, content)`` of xlsx or ods files to xlsx files: values only, no formulas or formats."""
+    return write_workbooks(read_workbooks(files))
+
+
+def workbook_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as workbooks of a hundred ids with a gap per ten, converted to a workbook and to CSV."""
+    s = table(spark, sf_dir, "supplier").where("s_suppkey % 10 <> 3")
+    none = F.lit(None)
+    cell = lambda col, kind, text, num: F.struct(F.lit(col).alias("col"), F.lit(kind).alias("type"), text.cast("string").alias("str"), num.cast("double").alias("num"), none.cast("boolean").alias("bool"))
+    at = [F.floor(F.col("s_suppkey") / 100).alias("doc"), F.lit(0).alias("sheet"), F.lit("suppliers").alias("sheet_name"), (F.col("s_suppkey") % 100).cast("int").alias("row")]
+    cells = s.select(*at, F.explode(F.array(cell(1, "text", F.concat("s_name", F.lit(', "x"')), none), cell(3, "number", none, F.col("s_suppkey")))).alias("c")).select("doc", "sheet", "sheet_name", "row", "c.*")
+    return sheet_csv(read_workbooks(convert_workbooks(write_workbooks(cells))))
+
+
+QUERIES = {"docx_roundtrip": docx_roundtrip, "odt_roundtrip": odt_roundtrip, "xlsx_roundtrip": xlsx_roundtrip, "workbook_csv": workbook_csv}
 ORACLES = {
+    "workbook_csv": """
+WITH s AS (SELECT s_suppkey // 100 AS doc, (s_suppkey % 100) AS r, s_name, s_suppkey FROM supplier WHERE s_suppkey % 10 <> 3), g AS (SELECT doc, min(r) AS lo, unnest(range(min(r), max(r) + 1)) AS r FROM s GROUP BY doc)
+SELECT g.doc::BIGINT AS doc, (g.r - lo)::INTEGER AS "row", CASE WHEN s_name IS NULL THEN ',,' ELSE '"' || s_name || ', ""x""' || '",,' || s_suppkey END AS line FROM g LEFT JOIN s ON s.doc = g.doc AND s.r = g.r""",
     "xlsx_roundtrip": """
 SELECT s_nationkey::BIGINT AS doc, s_suppkey::INTEGER AS "row", 0 AS col, 'text' AS type, s_name AS str, NULL::DOUBLE AS num, NULL::BOOLEAN AS bool FROM supplier UNION ALL
 SELECT s_nationkey, s_suppkey, 1, 'number', NULL, s_acctbal, NULL FROM supplier UNION ALL SELECT s_nationkey, s_suppkey, 28, 'bool', NULL, NULL, s_acctbal > 0 FROM supplier""",
