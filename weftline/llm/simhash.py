@@ -39,6 +39,9 @@ from weftline.llm.text import documents, whole
 SHINGLE, SEED, RADIUS = 4, 42, 4
 BLOCK = 1 << 16
 
+#: Fingerprints whose keys one task makes, and the most tasks; beyond these, tasks grow.
+TASK_FPS, MOST_TASKS = 8192, 100_000
+
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """The fingerprint, unsigned; zero without words."""
@@ -109,7 +112,9 @@ def _near(a, b):
 
 def links(fps: DataFrame) -> DataFrame:
     """``(node, root)`` over distinct fingerprints: components of those within RADIUS bits."""
-    keyed = fps.select("fp").mapInArrow(_keys, "key long, fp long")
+    # A small table is read by few tasks, and each fingerprint has about a hundred keys: spread them.
+    tasks = min(MOST_TASKS, fps.count() // TASK_FPS + 1)
+    keyed = fps.select("fp").repartition(tasks, "fp").mapInArrow(_keys, "key long, fp long")
     # Aggregates are combined before they are shuffled, and a join with their few rows can be split
     # where a bucket is crowded; a window could not.
     ends = keyed.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("key", "low")
