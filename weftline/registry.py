@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from weftline.functions import strings
 from weftline.operators import captions, detect, document, features, pageset, predict, provenance, receipts, relational, signal, tabular, timeline
 from weftline.plans import limits, planner
-from weftline.sources import archives, files, images, office
+from weftline.sources import archives, dxf, files, images, office
 from weftline.streaming import journal
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (detect, planner, timeline, pageset, predict, provenance, strings, tabular, signal, document, archives, office, journal, relational, limits, captions, images, files, receipts, features)
+_MODULES = (detect, planner, timeline, pageset, predict, provenance, strings, tabular, signal, document, archives, office, journal, relational, limits, captions, images, files, receipts, features, dxf)
 
 
 def queries() -> dict[str, Query]:
