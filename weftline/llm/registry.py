@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.llm import exact_dedup, fim, line_dedup, media, mixing, packing, passages, pii, quality, simhash, token_files, toxicity
+from weftline.llm import conversations, exact_dedup, fim, line_dedup, media, mixing, packing, passages, pii, quality, simhash, token_files, toxicity
 
-_MODULES = (exact_dedup, mixing, token_files, packing, media, toxicity, quality, pii, simhash, passages, fim, line_dedup)
+_MODULES = (exact_dedup, mixing, token_files, packing, media, toxicity, quality, pii, simhash, passages, fim, conversations, line_dedup)
 
 
 def queries() -> dict:
