@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from weftline.operators import features, pageset, prefix, receipts, tabular
+from weftline.operators import features, pageset, receipts, tabular
 from weftline.sources import files
 
 
@@ -53,14 +53,6 @@ def test_receipts_are_inserted_once_and_forgotten(spark, tmp_path):
     assert receipts.delete_all(spark, store) == 3 and receipts.receipts(spark, store).count() == 0
 
 
-def test_running_sum_over_slots(spark):
-    rng = np.random.default_rng(1)
-    rows = [(None if g == 0 else int(g), int(o), int(v)) for g, o, v in zip(rng.integers(0, 4, 400), rng.permutation(400), rng.integers(0, 9, 400), strict=True)]
-    found = prefix.running_sum(spark.createDataFrame(rows, "g int, o long, v long"), "g", "o", F.col("v"), "total", 7)
-    got = {r["o"]: r["total"] for r in found.collect()}
-    assert got == {o: sum(v for h, p, v in rows if h == g and p <= o) for g, o, _ in rows}
-
-
 def slow_boxes(mask):
     seen, out = set(), []
     h, w = mask.shape

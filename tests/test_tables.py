@@ -102,16 +102,3 @@ def test_journal_stream(spark, tmp_path):
     query = journal.follow(journal.once(journal.journal_stream(spark, str(folder))), lambda df, n: seen.extend(df.collect()), str(tmp_path / "state"))
     query.awaitTermination()
     assert [r["content_id"] for r in seen] == ["1"]
-
-
-def test_stateful_stream(spark, tmp_path):
-    from weftline.streaming import journal
-
-    folder = tmp_path / "packets"
-    for part in ([(1, 1, 0.5), (1, 2, 0.6), (1, 3, 0.7)], [(1, 4, 0.8), (1, 5, 0.9)]):
-        spark.createDataFrame(part, "track long, ord long, v double").coalesce(1).write.mode("append").parquet(str(folder))
-    stream = spark.readStream.schema("track long, ord long, v double").option("maxFilesPerTrigger", 1).parquet(str(folder))
-    query = journal.resampled_stream(stream, 2).writeStream.format("memory").queryName("kept").outputMode("append").start()
-    query.processAllAvailable()
-    query.stop()
-    assert spark.table("kept").count() == 3

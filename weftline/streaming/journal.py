@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,19 +42,37 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return events.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
 
 
-def resampled_stream(samples: DataFrame, ratio: int) -> DataFrame:
-    """Every ``ratio``-th sample of each track as packets arrive; the phase is kept between packets."""
-
-    def step(key: tuple, packets: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = state.get[0] if state.exists else 0
-        for packet in packets:
-            packet = packet.sort_values("ord")
-            place = range(seen, seen + len(packet))
-            seen += len(packet)
-            yield packet.loc[[p % ratio == 0 for p in place], ["track", "ord", "v"]]
-        state.update((seen,))
-
-    return samples.groupBy("track").applyInPandasWithState(step, "track long, ord long, v double", "seen long", "append", GroupStateTimeout.NoTimeout)
+def resampled_stream(packets: DataFrame, source: int, target: int, channels: int = 1) -> DataFrame:
+    """``track, ord, interleaved`` as packets arrive to ``track, k, v`` at the target rate.
+
+    State is the number of frames so far, the last of them and the number of packets, so that a value
+    between two packets has both neighbours, and any cut of a track into packets gives the values of
+    ``signal.resampled_tracks`` over the whole. Packets of a track are numbered from 0; within a batch
+    they may come in any order, a gap is an error. A packet without a whole frame adds nothing.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        frames, last, expected = state.get if state.exists else (0, 0.0, 0)
+        for ord_, interleaved in sorted((row for batch in batches for row in zip(batch["ord"], batch["interleaved"], strict=True)), key=lambda row: row[0]):
+            if ord_ != expected:
+                raise ValueError(f"track {key[0]}: packet {expected} is missing before {ord_}")
+            expected += 1
+            values = np.asarray([] if interleaved is None else interleaved, float)
+            fresh = values[: len(values) // channels * channels].reshape(-1, channels).sum(1) / channels
+            if not len(fresh):
+                continue
+            # Values up to the one before the last frame were given out already.
+            first = (frames - 1) * target // source + 1 if frames else 0
+            known = np.append([last], fresh) if frames else fresh
+            base = frames - (1 if frames else 0)
+            frames, last = frames + len(fresh), float(fresh[-1])
+            k = np.arange(first, (frames - 1) * target // source + 1)
+            at, part = k * source // target - base, (k * source % target) / target
+            here, then = known[at], known[np.minimum(at + 1, len(known) - 1)]
+            yield pd.DataFrame({"track": key[0], "k": k, "v": np.where(part == 0, here, here + (then - here) * part)})
+        state.update((frames, last, expected))
+
+    return packets.groupBy("track").applyInPandasWithState(step, "track long, k long, v double", "frames long, last double, packets long", "append", GroupStateTimeout.NoTimeout)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
