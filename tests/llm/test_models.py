@@ -5,9 +5,11 @@ import itertools
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.helpers import same, views
 from weftline.llm import mixing, pii, quality, registry, toxicity
@@ -343,3 +345,73 @@ def test_pipeline(spark):
     assert set(mix) <= set(near)
     rows = before.collect()
     check_pieces(corpus_pipeline.STAGES[-1][1](spark, before, SF).collect(), [(r["doc_id"], r["text"]) for r in rows])
+
+
+@pytest.mark.parametrize("good", [500, 7, 1])
+def test_every_sampled_row_has_a_learner(spark, good):
+    rows = spark.createDataFrame([(i, int(i < good), f"text {i}", i) for i in range(600)], "doc_id long, label int, text string, tie long")
+    shares = {}
+    for r in toxicity.dealt(rows, 4).withColumn("task", F.spark_partition_id()).collect():
+        shares.setdefault(r["learner"], []).append((r["label"], r["task"]))
+    assert len(shares) == min(4, good) and sum(map(len, shares.values())) == 600
+    for rows in shares.values():
+        assert len({task for _, task in rows}) == 1 and {label for label, _ in rows} == {0, 1}
+    sizes = [len(rows) for rows in shares.values()]
+    assert max(sizes) - min(sizes) <= 2
+
+
+@pytest.mark.parametrize("module,label,folds,held_out", [(toxicity, "toxic", 5, 0), (quality, "quality", 4, 2)])
+def test_registered_classifiers(spark, module, label, folds, held_out):
+    """The query over its table: every row, the contract's fold, few mistakes on it."""
+    (query,) = module.QUERIES.values()
+    folder = SF.replace("0.001", "0.01")
+    rows = {r["doc_id"]: r for r in query(spark, folder).collect()}
+    assert len(rows) == documents(spark, folder).count()
+    assert all(r["held_out"] == (zlib.crc32(str(d).encode()) % folds == held_out) and 0 <= r["score"] <= 1 for d, r in rows.items())
+    labels = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    unseen = [d for d in labels if d in rows and rows[d]["held_out"]]
+    assert sum(rows[d]["predicted"] == labels[d] for d in unseen) >= 0.9 * len(unseen)
+
+
+def test_pipeline_on_dirty_rows(spark):
+    """Nulls, repeated rows, ties and an empty table through every stage."""
+    import corpus_pipeline
+    from tests.llm.test_pairs import brute_components, brute_fingerprint
+    from tests.llm.test_tokens import check_pieces
+
+    docs = documents(spark, SF)
+    rows = [tuple(r) for r in docs.limit(30).collect()]
+    rows += rows[:5] + [(None, rows[0][1], None, None, None), (None, None, None, "src0", None), (901, None, "en", "src0", 0), (902, "", "en", "src1", 0), (903, rows[1][1].upper() if rows[1][1].isascii() else "A b", "en", None, 3), (904, "word " * 40_000, "en", "src2", None)]
+    tables = [spark.createDataFrame(rows, docs.schema), spark.createDataFrame([], docs.schema)]
+    for table in tables:
+        before = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, before, SF)
+            assert after.columns == docs.columns, name
+            had, got = [tuple(r) for r in before.collect()], [tuple(r) for r in after.collect()]
+            assert set(got) <= set(had), name
+            if name == "exact dedup":
+                lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+                best = {}
+                for r in had:
+                    best[lower(r[1])] = max(best.get(lower(r[1]), -1), -1 if r[0] is None else r[0])
+                assert sorted((lower(r[1]), -1 if r[0] is None else r[0]) for r in got) == sorted(best.items())
+                texts = {-1 if r[0] is None else r[0]: r[1] or "" for r in got}
+            if name == "simhash near-dedup":
+                groups = brute_components({d: brute_fingerprint(t) for d, t in texts.items() if d != -1})
+                assert {r[0] for r in got if r[0] is not None} >= set(groups.values()) - ({min(texts)} if -1 in texts else set())
+                assert len(got) == len({r[0] for r in got})
+            before = spark.createDataFrame(got, docs.schema)
+        check_pieces(corpus_pipeline.STAGES[-1][1](spark, before, SF).collect(), [(r[0], r[1]) for r in got])
+    assert not [r for r in spark.sql("SHOW TABLES").collect() if r["tableName"].startswith("weftline_digests")]
+
+
+def test_few_drops_move_no_text(spark):
+    from weftline.llm import exact_dedup
+
+    docs = spark.createDataFrame([(i, f"text number {i // 2 if i < 6 else i}") for i in range(400)], "doc_id long, text string").repartition(6)
+    kept = exact_dedup.keep_first(docs)
+    assert kept.count() == 397
+    rows = kept.collect()
+    plan = kept._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert len(rows) == 397 and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

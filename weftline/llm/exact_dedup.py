@@ -32,6 +32,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm.keep import kept_rows
 from weftline.llm.scratch import written
 from weftline.llm.text import documents, folded, whole
 
@@ -149,15 +150,6 @@ def fresh_index(spark: SparkSession) -> DigestIndex:
     return DigestIndex(spark, f"weftline_digests_{uuid.uuid4().hex}")
 
 
-def keep_new(docs: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of repeats of one row, one stays."""
-    key = lambda digest: F.concat(digest, F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).cast("binary"))
-    kept = ingest(docs, index, batch).where("kept").select(key(F.col("digest")).alias("weftline_key")).distinct()
-    # The join and the choice among repeats share one shuffle, as both go by one column.
-    marked = docs.withColumn("weftline_key", key(text_digest()))
-    return marked.join(kept.hint("merge"), "weftline_key", "left_semi").dropDuplicates(["weftline_key"]).select(*docs.columns)
-
-
 def ingest_all(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """A table in two batches, larger ids first: rows as ``ingest`` has them, groups over both.
 
@@ -177,6 +169,28 @@ def ingest_all(docs: DataFrame, index: DigestIndex) -> DataFrame:
     return joined.withColumn("kept", F.col("keep_id").eqNullSafe(F.col("doc_id")))
 
 
+def _row_key(digest: Column) -> Column:
+    return F.concat(digest, F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).cast("binary"))
+
+
+def kept(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``found``, a result of ``ingest`` or ``ingest_all``, keeps; of repeats of one row, one."""
+    return kept_rows(docs, _row_key(text_digest()), found.select(_row_key(F.col("digest")).alias("weftline_key"), "kept"))
+
+
+def keep_new(docs: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:
+    """The rows of a batch that stay, with all their columns; of repeats of one row, one stays."""
+    return kept(docs, ingest(docs, index, batch))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """A table's rows that stay, by ``ingest_all`` against an index that is dropped afterwards."""
+    index = fresh_index(docs.sparkSession)
+    found = ingest_all(docs, index)
+    index.drop()  # the result reads its groups from a table of their own
+    return kept(docs, found)
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = fresh_index(spark)
     found = ingest_all(documents(spark, sf_dir), index)

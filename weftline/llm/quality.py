@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.scratch import written
 from weftline.llm.text import documents, whole
-from weftline.llm.toxicity import fold, sample, sampled_texts, training_labels
+from weftline.llm.toxicity import dealt, fold, sample, sampled_texts, training_labels
 from weftline.llm.wordhash import NON_SPACE, slices, words
 
 SAMPLE_ROWS, LEARNERS, SEGMENT = 6_000, 4, 64
@@ -227,7 +227,7 @@ def calibrated(seen: np.ndarray, labels: np.ndarray, counts: np.ndarray) -> tupl
 
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row: the weights of a task's texts, or none if their labels are all alike."""
+    """One row: the weights of a learner's texts, or none if all labels are alike, for all learners then."""
     texts, owns, labels, n = [], [], [], 0
     for batch in batches:
         labels.append(batch["label"].to_numpy())
@@ -246,16 +246,13 @@ def fit(docs: DataFrame, labelled: DataFrame, learners: int = LEARNERS) -> Field
     """``labelled``: ``doc_id, label`` (0 or 1), without the rows to hold out."""
     d = 3 * OWN
     rows = written(sampled_texts(docs, sample(labelled, SAMPLE_ROWS)), "quality-sample")
-    dealt = rows.repartition(learners, F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(learners))).sortWithinPartitions("doc_id", "label")
-    found = dealt.select("text", "label").mapInArrow(_learn, "texts long, good long, weights array<double>").collect()  # a row a learner
+    found = dealt(rows, learners).mapInArrow(_learn, "texts long, good long, weights array<double>").collect()  # a row a learner
     n, good = sum(r["texts"] for r in found), sum(r["good"] for r in found)
     if good in (0, n):
         only = good / n if n else 0.5
         return Field(np.zeros(d), np.zeros((2, 2)), 0.0, float(np.clip((only - 0.5) * 12, -6, 6)))
-    able = [r for r in found if r["weights"] is not None]
-    if not able:  # so few texts that no learner has both labels
-        return fit(docs, labelled, 1)
-    x = np.average([r["weights"] for r in sorted(able, key=lambda r: r["weights"])], axis=0, weights=[r["texts"] for r in sorted(able, key=lambda r: r["weights"])])
+    found.sort(key=lambda r: r["weights"])
+    x = np.average([r["weights"] for r in found], axis=0, weights=[r["texts"] for r in found])
     field = Field(x[:d], x[d:].reshape(2, 2), 1.0, 0.0)
     shared = docs.sparkSession.sparkContext.broadcast(field)
     seen = rows.select("label", "text").mapInArrow(_evidence(shared), "label int, hundredths int")

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import golay
 from weftline.llm.components import connected
+from weftline.llm.keep import kept_rows
 from weftline.llm.scratch import written
 from weftline.llm.text import documents, whole
 
@@ -153,10 +154,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest id, with all columns of ``docs``."""
-    kept = near_groups(docs).select(F.col("first.doc_id").alias("weftline_id"), F.col("first.text_key").alias("weftline_text")).distinct()
-    marked = docs.withColumn("weftline_key", F.xxhash64(whole()))
-    same = (marked["weftline_key"] == kept["weftline_text"]) & marked["doc_id"].eqNullSafe(kept["weftline_id"])
-    return marked.join(kept.hint("merge"), same, "left_semi").dropDuplicates(["weftline_key", "doc_id"]).select(*docs.columns)
+    row = lambda doc_id, text_key: F.struct(F.coalesce(doc_id.cast("long"), F.lit(0)), doc_id.isNull(), text_key)  # noqa: E731  no field is null, so structs are equal or not
+    found = near_groups(docs).select(row(F.col("doc_id"), F.col("text_key")).alias("weftline_key"), (row(F.col("doc_id"), F.col("text_key")) == row(F.col("first.doc_id"), F.col("first.text_key"))).alias("kept"))
+    return kept_rows(docs, row(F.col("doc_id"), F.xxhash64(whole())), found)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,8 +24,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.llm.scratch import written
 from weftline.llm.text import documents, whole
 from weftline.llm.wordhash import mixed, slices, words
 
@@ -129,13 +131,23 @@ def sampled_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return one.select("doc_id", "label", "row.text", "row.tie")
 
 
+def dealt(rows: DataFrame, learners: int) -> DataFrame:
+    """``learner, text, label`` of a sample, one learner per task, each with its share of either label.
+
+    A label with fewer rows than learners makes for fewer learners, so that each has both labels.
+    """
+    counts = [r["count"] for r in rows.groupBy("label").count().collect()]  # a row per label
+    learners = max(1, min([learners, *counts]))
+    place = F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id", "tie"))  # of a bounded sample
+    turned = rows.withColumn("learner", F.pmod(place, F.lit(learners)))
+    return turned.repartitionById(learners, "learner").sortWithinPartitions("doc_id", "label").select("learner", "text", "label")
+
+
 def fit(docs: DataFrame, labelled: DataFrame) -> Model:
     """``labelled``: ``doc_id, label`` (0 or 1), without the rows to hold out."""
     chosen = sample(labelled)  # at most SAMPLE_ROWS short rows: broadcast
-    learners = max(1, chosen.count() // LEARNER_ROWS)
-    dealt = sampled_texts(docs, chosen).withColumn("learner", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(learners))).repartition(learners, "learner").sortWithinPartitions("doc_id", "label")
-    learned = dealt.select("text", "label")
-    found = learned.mapInArrow(_learn, "feature long, weight double, evidence double")
+    rows = written(sampled_texts(docs, chosen), "toxicity-sample")
+    found = dealt(rows, max(1, chosen.count() // LEARNER_ROWS)).mapInArrow(_learn, "feature long, weight double, evidence double")
     merged = found.groupBy("feature").agg((F.sum(F.col("weight") * F.col("evidence")) / F.sum("evidence")).alias("weight"))
     # Sparse by L1, and at most 2^BITS + 1 rows of eight bytes.
     rows = merged.where("weight <> 0").select(F.col("feature").cast("int").alias("feature"), F.col("weight").cast("float").alias("weight")).toArrow()
