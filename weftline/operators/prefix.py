@@ -48,12 +48,29 @@ def _resumed(placed: DataFrame, carried: DataFrame, group: str) -> DataFrame:
     return placed.join(F.broadcast(carried), F.col(group).eqNullSafe(F.col("_group")) & (F.col("_slot") == F.col("_from")), "left")
 
 
+def summed(placed: DataFrame, group: str, value: str, name: str) -> DataFrame:
+    """``ordered`` rows with ``name``, the sum of ``value`` over the rows of a group up to this one."""
+    here = F.sum(value).over(W.partitionBy(group, "_slot").orderBy("_at").rowsBetween(W.unboundedPreceding, 0))
+    total = F.coalesce(here, F.lit(0)) + F.coalesce("_before", F.lit(0))
+    return _resumed(placed, _carried(placed, group, F.col(value)), group).withColumn(name, total).drop("_group", "_from", "_before")
+
+
+def filled(placed: DataFrame, group: str, *values: str) -> DataFrame:
+    """``ordered`` rows with each of ``values`` replaced by its last value in the group that was not null, up to this row.
+
+    Rows of two tables in one order make this a join with the last row at or before, whatever the size of a group.
+    """
+    ends = placed.groupBy(F.col(group).alias("_group"), F.col("_slot").alias("_from")).agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.col("_at"))).alias(v) for v in values])
+    earlier = W.partitionBy("_group").orderBy("_from").rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.select("_group", "_from", F.count("*").over(earlier).alias("_n"), *[F.last(v, ignorenulls=True).over(earlier).alias(f"_earlier_{v}") for v in values]).where("_n > 0").drop("_n")
+    here = W.partitionBy(group, "_slot").orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
+    known = {v: F.coalesce(F.last(v, ignorenulls=True).over(here), F.col(f"_earlier_{v}")) for v in values}
+    return _resumed(placed, carried, group).withColumns(known).drop("_group", "_from", *[f"_earlier_{v}" for v in values])
+
+
 def running_sum(rows: DataFrame, group: str, order: str, value: Column, name: str) -> DataFrame:
     """Adds ``name``: the sum of ``value`` over the rows of a group up to this one. A null value adds nothing."""
-    placed = ordered(rows.withColumn("_value", value), group, order)
-    here = F.sum("_value").over(W.partitionBy(group, "_slot").orderBy("_at").rowsBetween(W.unboundedPreceding, 0))
-    total = F.coalesce(here, F.lit(0)) + F.coalesce("_before", F.lit(0))
-    return _resumed(placed, _carried(placed, group, F.col("_value")), group).withColumn(name, total).select(*rows.columns, name)
+    return summed(ordered(rows.withColumn("_value", value), group, order), group, "_value", name).select(*rows.columns, name)
 
 
 def numbered(rows: DataFrame, group: str, *order: str | Column, name: str = "nth") -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.operators.prefix import running_sum
+from weftline.operators.prefix import numbered
+from weftline.operators.selection import median
 from weftline.session import table
 
 
@@ -32,21 +33,56 @@ def deltas(samples: DataFrame) -> DataFrame:
     return samples.withColumn("delta", F.col("ts") - F.lag("ts").over(W.partitionBy("track").orderBy("ord"))).where("delta IS NOT NULL")
 
 
-def cadence(samples: DataFrame) -> DataFrame:
-    """One row: the upper median of all gaps between neighbours, pooled over tracks."""
-    return deltas(samples).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY delta DESC)").alias("cadence"))
+def cadence(samples: DataFrame) -> int | None:
+    """The upper median of all gaps between neighbours, pooled over tracks, by counts per range."""
+    return median(deltas(samples), "delta")
+
+
+class Refused(ValueError):
+    """An edit that would give an empty or mixed timeline."""
 
 
 def concat(first: DataFrame, second: DataFrame) -> DataFrame:
-    """``second`` after ``first``: one shift for all tracks, a cadence past the end, at least one tick."""
-    last = first.groupBy("track").agg(F.max_by("ts", "ord").alias("ts")).agg(F.coalesce(F.max("ts"), F.lit(0)).alias("last"))
-    shift = last.crossJoin(cadence(first)).select(F.greatest(F.col("last") + F.coalesce("cadence", F.lit(0)), F.col("last") + 1).alias("shift"))
-    count = first.groupBy("track").agg(F.max("ord").alias("base"))
-    moved = second.crossJoin(F.broadcast(shift)).join(count, "track", "left")
-    moved = moved.withColumn("ts", F.col("ts") + F.col("shift")).withColumn("ord", F.col("ord") + F.coalesce(F.col("base"), F.lit(0)))
+    """``second`` after ``first``: one shift for all tracks, a cadence past the end, at least one tick.
+
+    Both have the same tracks, as positions in ``second`` carry on from those of ``first``.
+    """
+    ends = first.groupBy("track").agg(F.max("ord").alias("base"), F.max_by("ts", "ord").alias("ts"))
+    last = ends.agg(F.max("ts")).first()[0] or 0
+    shift = last + max(cadence(first) or 0, 1)
+    moved = second.join(ends.select("track", "base"), "track", "left").withColumn("ts", F.col("ts") + F.lit(shift)).withColumn("ord", F.col("ord") + F.coalesce(F.col("base"), F.lit(0)))
     return first.withColumn("part", F.lit(1)).unionByName(moved.select(*first.columns).withColumn("part", F.lit(2)))
 
 
+def refusals(tracks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``a, b, why`` of pairs of files: why they cannot be joined on one timeline, or null.
+
+    ``tracks``: ``file, position, scale_ns, kind, codec, private, width, height``. Files need as many
+    tracks as each other, then one clock, then each pair of tracks the same kind and codec, then the same
+    settings and dimensions, as the output carries those of ``a`` only.
+    """
+    clock = tracks.groupBy("file").agg(F.count("*").alias("n"), F.min("scale_ns").alias("scale_ns"))
+    files = pairs.join(clock.select(F.col("file").alias("a"), F.col("n").alias("a_n"), F.col("scale_ns").alias("a_scale")), "a", "left").join(clock.select(F.col("file").alias("b"), F.col("n").alias("b_n"), F.col("scale_ns").alias("b_scale")), "b", "left")
+    side = lambda p: tracks.select(F.col("file").alias(p), "position", F.struct("kind", "codec").alias(f"{p}_codec"), F.struct("private", "width", "height").alias(f"{p}_config"))
+    differs = pairs.distinct().join(side("a"), "a").join(side("b"), ["b", "position"]).groupBy("a", "b").agg(F.bool_or(~F.col("a_codec").eqNullSafe(F.col("b_codec"))).alias("codec"), F.bool_or(~F.col("a_config").eqNullSafe(F.col("b_config"))).alias("config"))
+    why = F.when(F.coalesce("a_n", F.lit(0)) != F.coalesce("b_n", F.lit(0)), "track layouts differ").when(~F.col("a_scale").eqNullSafe(F.col("b_scale")), "timecode scales differ")
+    return files.join(differs, ["a", "b"], "left").select("a", "b", why.when(F.col("codec"), "codec sets differ").when(F.col("config"), "codec configurations differ").alias("why"))
+
+
+def ms_to_ticks(ms: Column, scale_ns: Column) -> Column:
+    """Milliseconds in ticks of ``scale_ns``, rounded down; a scale of 0 counts as 1, what is too large as the largest."""
+    exact = F.floor(ms.cast("decimal(38,0)") * 1_000_000 / F.greatest(scale_ns, F.lit(1)).cast("decimal(10,0)"))
+    return F.least(exact, F.lit(2**63 - 1).cast("decimal(38,0)")).cast("long")
+
+
+def trimmed(samples: DataFrame, start: int, end: int) -> DataFrame:
+    """``trim``, refused where nothing would be left of any track."""
+    found = trim(samples, start, end)
+    if found.isEmpty():
+        raise Refused(f"this window selects no samples: {start} to {end}")
+    return found
+
+
 def peaks(frames: DataFrame, buckets: int = 96) -> DataFrame:
     """``track, frame, v`` (frames from 0, any channels) to ``track, bucket, peak``, peaks from 0 to 255.
 
@@ -80,6 +116,24 @@ _SAMPLES = "SELECT user_id AS track, row_number() OVER (PARTITION BY user_id ORD
 _SAMPLES = _SAMPLES.replace("(epoch_us(ts) / 1000)::BIGINT", "epoch_us(ts) // 1000")
 
 
+def concat_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as tracks of files of three, some with a track missing; neighbouring files are to be joined."""
+    c = table(spark, sf_dir, "customer").where("c_custkey % 17 <> 0")
+    tracks = c.select(
+        F.floor(F.col("c_custkey") / 3).alias("file"), (F.col("c_custkey") % 3).alias("position"), F.when(F.floor(F.col("c_custkey") / 3) % 13 == 0, 1000).otherwise(1_000_000).alias("scale_ns"),
+        F.when(F.col("c_custkey") % 3 == 0, "video").otherwise("audio").alias("kind"), F.when(F.col("c_nationkey") < 22, "x").otherwise("y").alias("codec"),
+        F.when(F.col("c_mktsegment") == "BUILDING", F.lit(None).cast("string")).otherwise("p").alias("private"), F.lit(640).alias("width"), F.when(F.col("c_acctbal") < 0, 360).otherwise(480).alias("height"),
+    )
+    files = tracks.select(F.col("file").alias("a")).distinct()
+    return refusals(tracks, files.select("a", (F.col("a") + 1).alias("b"))).select("a", "b", "why")
+
+
+def tick_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event times in ticks of several clocks."""
+    ms, scale = F.expr("unix_micros(CAST(ts AS TIMESTAMP)) div 1000"), F.element_at(F.array(*map(F.lit, (0, 1, 100, 1_000_000, 41_666_667))), (F.col("event_id") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", ms_to_ticks(ms * 1000, scale).alias("ticks"))
+
+
 def _bounds(samples: DataFrame) -> tuple[int, int]:
     first, last = samples.agg(F.min("ts"), F.max("ts")).first()  # one row
     if first is None:
@@ -107,8 +161,7 @@ def cadence_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def peaks_96(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    numbered = running_sum(events, "event_type", "event_id", F.lit(1), "nth")
-    values = numbered.select(F.col("event_type").alias("track"), (F.col("nth") - 1).alias("frame"), (F.coalesce("value", F.lit(0.0)) / 500).alias("v"))
+    values = numbered(events, "event_type", "event_id").select(F.col("event_type").alias("track"), F.col("nth").alias("frame"), (F.coalesce("value", F.lit(0.0)) / 500).alias("v"))
     return peaks(values)
 
 
@@ -125,7 +178,7 @@ def track_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("track", F.row_number().over(W.partitionBy("track").orderBy("ord")).alias("ord"), "ts")
 
 
-QUERIES = {"trim_keyframe": trim_keyframe, "concat_shift": concat_shift, "cadence_median": cadence_median, "peaks_96": peaks_96, "chunk_frames": chunk_frames, "track_filter": track_filter}
+QUERIES = {"trim_keyframe": trim_keyframe, "concat_shift": concat_shift, "cadence_median": cadence_median, "peaks_96": peaks_96, "chunk_frames": chunk_frames, "track_filter": track_filter, "concat_refusals": concat_refusals, "tick_times": tick_times}
 ORACLES = {
     "trim_keyframe": f"""
 WITH s AS ({_SAMPLES}), b AS (SELECT min(ts) + (max(ts) - min(ts)) // 3 AS lo, min(ts) + 2 * (max(ts) - min(ts)) // 3 AS hi FROM s),
@@ -156,4 +209,11 @@ SELECT r.track, bucket, round(least(greatest(max(abs(v)), 0.0), 1.0) * 255)::INT
 WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS xs FROM embeddings), w AS (SELECT id, xs, unnest(range(0, len(xs) - 15, 8)) AS pos FROM e)
 SELECT id, (pos // 8)::INTEGER AS frame, round(list_sum(list_transform(xs[pos + 1 : pos + 16], lambda x: x * x)), 6) AS energy FROM w""",
     "track_filter": f"SELECT track, row_number() OVER (PARTITION BY track ORDER BY ord)::INTEGER AS ord, ts FROM ({_SAMPLES}) WHERE keyframe",
+    "concat_refusals": """
+WITH t AS (SELECT c_custkey // 3 AS file, c_custkey % 3 AS position, CASE WHEN c_custkey // 3 % 13 = 0 THEN 1000 ELSE 1000000 END AS scale, (c_custkey % 3 = 0, c_nationkey < 22) AS codec, (c_mktsegment = 'BUILDING', c_acctbal < 0) AS config FROM customer WHERE c_custkey % 17 <> 0),
+f AS (SELECT file, count(*) AS n, min(scale) AS scale FROM t GROUP BY file),
+d AS (SELECT x.file AS a, bool_or(x.codec <> y.codec) AS codec, bool_or(x.config <> y.config) AS config FROM t x JOIN t y ON y.file = x.file + 1 AND y.position = x.position GROUP BY x.file)
+SELECT f.file AS a, f.file + 1 AS b, CASE WHEN f.n <> coalesce(g.n, 0) THEN 'track layouts differ' WHEN f.scale <> g.scale THEN 'timecode scales differ' WHEN codec THEN 'codec sets differ' WHEN config THEN 'codec configurations differ' END AS why
+FROM f LEFT JOIN f g ON g.file = f.file + 1 LEFT JOIN d ON d.a = f.file""",
+    "tick_times": "SELECT event_id, least(((epoch_us(ts) // 1000)::HUGEINT * 1000 * 1000000) // greatest([0, 1, 100, 1000000, 41666667][event_id % 5 + 1], 1), 9223372036854775807)::BIGINT AS ticks FROM events",
 }
