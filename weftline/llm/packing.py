@@ -198,11 +198,18 @@ def _last(made: Plan, stock: dict[int, deque], lengths: list[int], total: int) -
 # -- over documents --------------------------------------------------------------------------
 
 
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time, so that what Python makes of a batch is a small part of it."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path)
         end, width = np.array([end_id], code.dtype).tobytes(), np.dtype(code.dtype).itemsize
-        for batch in batches:
+        for batch in _few(batches):
             packed = [code.ids(text) + end for text in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(x) // width for x in packed], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "doc_tokens", "ids"])
 
@@ -220,7 +227,7 @@ def _cut(placed, window: int, dtype: str):
         ranges = placed.value
         types = [pa.int64()] * 7 + [pa.binary()]
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
-        for batch in batches:
+        for batch in _few(batches):
             out: list[list] = [[] for _ in names]
 
             def add(doc_id, start, length, n, sequence, offset, ids):
