@@ -255,3 +255,19 @@ def test_added_tokens_in_token_files_and_packing(spark, tmp_path):
     assert found == {i: (len(x) + 1, zlib.crc32(np.array([*x, 2], "<u4").tobytes())) for i, x in enumerate(plain("word_bpe_49k.json"))}
     lengths = {r["doc_id"]: r["doc_tokens"] for r in packing.packed_documents(df).collect()}
     assert lengths == {i: len(x) + 1 for i, x in enumerate(plain("byte_bpe_50k.json"))}
+
+
+def test_equal_rows_are_spread(spark):
+    """A third of the rows have no id and no text: no lane and no file holds many of them."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(None, None) if i % 3 == 0 else (i, f"text {i} of a few words") for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    found = packing.encoded(docs, path)
+    hot = found.where("doc_id IS NULL").count()
+    lanes = found.where("doc_id IS NULL").groupBy(packing.F.pmod(packing.F.xxhash64("doc_id", packing.F.crc32("ids"), "nth"), packing.F.lit(-(-hot // packing.LANE_ROWS)))).count()
+    sizes = [r["count"] for r in lanes.collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 3 * packing.LANE_ROWS
+    check_pieces(packing.packed_documents(docs).collect(), rows)
+    token_files.write_tokens(docs, out := f"{spark.conf.get('spark.checkpoint.dir')}/spread-tokens", public_tokenizers.path("word_bpe_49k.json"), shards=6)
+    files = [r["count"] for r in token_files.read_tokens(spark, out).groupBy("shard").count().collect()]
+    assert len(files) == 6 and max(files) < 2 * 9000 / 6

@@ -208,18 +208,19 @@ def _few(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Reco
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path)
-        end, width = np.array([end_id], code.dtype).tobytes(), np.dtype(code.dtype).itemsize
+        end, width, done = np.array([end_id], code.dtype).tobytes(), np.dtype(code.dtype).itemsize, 0
         for batch in _few(batches):
             packed = [code.ids(text) + end for text in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(x) // width for x in packed], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "doc_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(x) // width for x in packed], pa.int64()), pa.array(packed, pa.binary()), pa.array(range(done, done + len(packed)), pa.int64())], names=["doc_id", "doc_tokens", "ids", "nth"])
+            done += batch.num_rows
 
     return run
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """``doc_id, doc_tokens, ids`` with packed ids, written out so that texts are encoded once."""
+    """``doc_id, doc_tokens, ids`` with packed ids, and ``nth``, the row's place in its task; written out so that texts are encoded once."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
-    return written(rows.mapInArrow(_encode(tokenizer, end_id), "doc_id long, doc_tokens long, ids binary"), "packing-ids")
+    return written(rows.mapInArrow(_encode(tokenizer, end_id), "doc_id long, doc_tokens long, ids binary, nth long"), "packing-ids")
 
 
 def _cut(placed, window: int, dtype: str):
@@ -264,14 +265,14 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
         full += x["windows"]
     made = plan({x["rest"]: x["n"] for x in found}, window, first_sequence=full)
     lanes = F.create_map(*[F.lit(v) for x in found for v in (x["rest"], -(-x["n"] // LANE_ROWS))]) if found else F.create_map(F.lit(0), F.lit(1))
-    laned = rows.withColumn("lane", F.pmod(F.xxhash64("doc_id", F.crc32("ids")), lanes[F.col("rest")]))
+    laned = rows.withColumn("lane", F.pmod(F.xxhash64("doc_id", F.crc32("ids"), "nth"), lanes[F.col("rest")]))
     prior = W.partitionBy("rest").orderBy("lane").rowsBetween(W.unboundedPreceding, -1)
     bases = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else F.create_map(F.lit(0), F.lit(0))
     shifts = (
         laned.groupBy("rest", "lane").agg(F.count("*").alias("n"), F.sum("windows").alias("w"))
         .select("rest", "lane", F.coalesce(F.sum("n").over(prior), F.lit(0)).alias("rank_base"), (F.coalesce(F.sum("w").over(prior), F.lit(0)) + bases[F.col("rest")]).alias("full_base"))
     )
-    lane = W.partitionBy("rest", "lane").orderBy("doc_id", "ids")
+    lane = W.partitionBy("rest", "lane").orderBy("doc_id", "ids", "nth")
     ranked = laned.withColumn("r", F.row_number().over(lane) - 1).withColumn("f", F.sum("windows").over(lane.rowsBetween(W.unboundedPreceding, 0)) - F.col("windows"))
     joined = ranked.join(shifts.hint("merge"), ["rest", "lane"])
     wide = joined.select("doc_id", "doc_tokens", "ids", (F.col("r") + F.col("rank_base")).alias("rank"), (F.col("f") + F.col("full_base")).alias("full_before"))

@@ -59,8 +59,10 @@ def _encode(path: str, end_id: int):
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shards: int | None = None) -> None:
     """Write ``doc_id, shard, shard_start, ids`` in ascending order of ``doc_id``."""
     shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"), F.xxhash64(whole()).alias("tie"))
-    ordered = keyed.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"), F.xxhash64(whole()).alias("tie"), F.monotonically_increasing_id().alias("own"))
+    # Even rows with one id and one text are dealt out: each has a number of its own.
+    order = ("doc_id", "tie", "own")
+    ordered = keyed.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
     ordered.mapInArrow(_encode(tokenizer, end_id), SCHEMA).write.options(**ORC_OPTIONS).orc(path)
 
 
