@@ -106,7 +106,11 @@ def history_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prior_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return global_priors(spark).select("source", "target", F.round("prior", 9).alias("prior"))
+    """The prior of every pair of formats that events ask for, and how many do."""
+    ids = F.array(*[F.lit(r[1]) for r in catalog.format_rows()])
+    named = lambda at: F.element_at(ids, (at % len(catalog.format_rows()) + 1).cast("int"))
+    asked = table(spark, sf_dir, "events").groupBy(named(F.col("event_id")).alias("source"), named(F.floor(F.col("event_id") / 50)).alias("target")).agg(F.count("*").alias("requests"))
+    return asked.join(F.broadcast(global_priors(spark)), ["source", "target"]).select("source", "target", "requests", F.round("prior", 9).alias("prior"))
 
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +147,8 @@ sc AS (SELECT *, least(1.0, greatest(0.0, s3)) AS score FROM b3)"""
 QUERIES = {"history_decay": history_decay, "prior_matrix": prior_matrix, "score_rank": score_rank, "folder_top": folder_top}
 ORACLES = {
     "history_decay": f"WITH {_HISTORY} SELECT folder, source, target, round(folder_pair, 5) AS folder_pair, round(pair, 5) AS pair, round(total, 5) AS total, round(folder_total, 5) AS folder_total FROM hh",
-    "prior_matrix": f"WITH {_PRIORS} SELECT source, target, round(prior, 9) AS prior FROM pr",
+    "prior_matrix": f"""WITH {_PRIORS}, q AS (SELECT s.id AS source, t.id AS target, count(*) AS requests FROM events JOIN f s ON s.i = event_id % 50 JOIN f t ON t.i = event_id // 50 % 50 GROUP BY 1, 2)
+SELECT source, target, requests, round(prior, 9) AS prior FROM q JOIN pr USING (source, target)""",
     "score_rank": f"WITH {_HISTORY}, {_PRIORS}, {_SCORED} SELECT folder, source, target, round(score, 6) AS score, row_number() OVER (PARTITION BY folder, source ORDER BY score DESC, ord)::INTEGER AS place, score >= 0.85 AS armed, score >= 0.6 AS leads FROM sc",
     "folder_top": f"WITH {_HISTORY}, {_PRIORS}, {_SCORED} SELECT folder, source, arg_max(target, (score, -ord)) AS target FROM sc GROUP BY 1, 2",
 }

@@ -48,10 +48,22 @@ def limits_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def route_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of events by how the first route of their pair is isolated, and its class."""
+    ids = F.array(*[F.lit(r[1]) for r in catalog.format_rows()])
+    asked = table(spark, sf_dir, "events").select(F.element_at(ids, (F.col("event_id") % 50 + 1).cast("int")).alias("source"), F.element_at(ids, (F.floor(F.col("event_id") / 50) % 50 + 1).cast("int")).alias("target"))
     formats = catalog.formats(spark).select(F.col("id").alias("source"), "safe_parser")
     needs = F.exists("requires", lambda r: ~r.isin("StreamsCompatible", "AudioCompatible"))
-    routes = catalog.routes(spark).join(F.broadcast(formats), "source")
-    return routes.select(isolation(F.col("safe_parser"), needs).alias("isolation"), "class").groupBy("isolation", "class").agg(F.count("*").alias("routes"))
+    first = catalog.routes(spark).groupBy("source", "target").agg(F.min_by(F.struct("class", "requires"), "ord").alias("route")).select("source", "target", "route.*")
+    routes = asked.join(F.broadcast(first), ["source", "target"]).join(F.broadcast(formats), "source")
+    return routes.select(isolation(F.col("safe_parser"), needs).alias("isolation"), "class").groupBy("isolation", "class").agg(F.count("*").alias("requests"))
+
+
+def step_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as pictures whose dimensions narrow the pixel limit, each with the hash of its plan."""
+    w, h = F.col("l_quantity").cast("long") * 400, F.when(F.col("l_linenumber") != 3, F.col("l_suppkey"))
+    limit = narrowed_pixels(w, h, F.lit(DEFAULTS["pixels"]).cast("long"))
+    key = plan_hash(F.col("l_orderkey").cast("string"), F.lit("Jpeg"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", limit.alias("pixels"), key.cast("string").alias("plan_hash"))
 
 
 def batch_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,10 +73,14 @@ def batch_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _K = {k: i + 3 for i, k in enumerate(DEFAULTS)}
-QUERIES = {"limits_clamped": limits_clamped, "route_isolation": route_isolation, "batch_budget": batch_budget}
+QUERIES = {"limits_clamped": limits_clamped, "route_isolation": route_isolation, "step_limits": step_limits, "batch_budget": batch_budget}
 ORACLES = {
     "limits_clamped": "SELECT o_orderkey, " + ", ".join(f"least((o_orderkey * {_K[k]}) % {DEFAULTS[k] * 2}, {DEFAULTS[k]})::BIGINT AS {k}" for k in ("wall_s", "depth", "entries")) + ", o_custkey % 2 = 0 AND o_custkey % 3 = 0 AS gpu FROM orders",
-    "route_isolation": f"""SELECT CASE WHEN f.safe AND len(list_filter(requires, lambda r: r NOT IN ('StreamsCompatible', 'AudioCompatible'))) = 0 THEN 'in-process' ELSE 'sandboxed' END AS isolation, class, count(*) AS routes
-  FROM {catalog.sql_values(catalog.route_rows(), 'ord, source, target, class, requires, via')} JOIN {catalog.sql_values([(r[1], r[5]) for r in catalog.format_rows()], 'id, safe').replace('AS v(', 'AS f(')} ON f.id = v.source GROUP BY 1, 2""",
+    "route_isolation": f"""
+WITH f AS (SELECT * FROM {catalog.sql_values([(r[0], r[1], r[5]) for r in catalog.format_rows()], 'i, id, safe')}), r AS (SELECT * FROM {catalog.sql_values(catalog.route_rows(), 'ord, source, target, class, requires, via')}),
+q AS (SELECT event_id, s.safe, class, requires, row_number() OVER (PARTITION BY event_id ORDER BY ord) AS n FROM events JOIN f s ON s.i = event_id % 50 JOIN f t ON t.i = event_id // 50 % 50 JOIN r ON r.source = s.id AND r.target = t.id)
+SELECT CASE WHEN safe AND len(list_filter(requires, lambda r: r NOT IN ('StreamsCompatible', 'AudioCompatible'))) = 0 THEN 'in-process' ELSE 'sandboxed' END AS isolation, class, count(*) AS requests FROM q WHERE n = 1 GROUP BY 1, 2""",
+    "step_limits": f"""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 THEN {DEFAULTS["pixels"]} ELSE least({DEFAULTS["pixels"]}, l_quantity::BIGINT * 400 * l_suppkey * 2) END AS pixels,
+  (('0x' || substr(sha256(l_orderkey || chr(31) || 'Jpeg'), 1, 16))::UBIGINT)::VARCHAR AS plan_hash FROM lineitem""",
     "batch_budget": f"SELECT source, projected::BIGINT AS projected, projected <= {OUTPUT_BUDGET} AND {40 << 30} >= projected + {RESERVE} AS admitted FROM (SELECT source, sum(n_chars) * 1000000 AS projected FROM documents GROUP BY source)",
 }

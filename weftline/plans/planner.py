@@ -97,54 +97,74 @@ def plan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan(_page_requests(spark, sf_dir))
 
 
-def _pairs(spark: SparkSession) -> DataFrame:
-    ids = catalog.formats(spark).select("id", "ord")
-    pairs = ids.select(F.col("id").alias("source"), F.col("ord").alias("i")).join(F.broadcast(ids.select(F.col("id").alias("target"), F.col("ord").alias("j"))), F.col("i") != F.col("j"))
-    return pairs.selectExpr("CAST(i * 100 + j AS BIGINT) AS req_id", "source", "target", "false AS polyglot", "CASE WHEN (i + j) % 3 = 0 THEN 'h264' WHEN (i + j) % 3 = 1 THEN 'vp9' END AS video", "CASE WHEN j % 3 = 0 THEN 'aac' WHEN j % 3 = 1 THEN 'opus' END AS audio")
+# Requests of the queries: what a stream of events asks for. Codecs by kind of event and by user.
+_VIDEO = {"click": "h264", "view": "vp9", "signup": "av1", "error": "h265"}
+_AUDIO = ("aac", "opus", None, "mp3")
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event asks for one conversion; neighbouring events walk through all pairs of formats."""
+    ids = F.array(*[F.lit(r[1]) for r in catalog.format_rows()])
+    named = lambda at: F.element_at(ids, (at % len(catalog.format_rows()) + 1).cast("int"))
+    video = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in _VIDEO.items()])
+    audio = F.element_at(F.array(*map(F.lit, _AUDIO)), (F.col("user_id") % len(_AUDIO) + 1).cast("int"))
+    found = table(spark, sf_dir, "events").select(F.col("event_id").alias("req_id"), named(F.col("event_id")).alias("source"), named(F.floor(F.col("event_id") / 50)).alias("target"), F.lit(False).alias("polyglot"), video.alias("video"), audio.alias("audio"))
+    return found.where("source <> target")
+
+
+def _planned(spark: SparkSession, sf_dir: str, ceiling: str, available: dict[str, bool] | None = None) -> DataFrame:
+    return plan(_requests(spark, sf_dir).withColumn("ceiling", F.lit(ceiling)), available)
+
+
+_EVERY = dict.fromkeys(catalog.ENGINES, True)
 
 
 def plan_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every pair of formats, with codecs by turns, no class ceiling, all engines available."""
-    return plan(_pairs(spark).withColumn("ceiling", F.lit("D")), dict.fromkeys(catalog.ENGINES, True))
+    """The plan of every request, no class ceiling, all engines available."""
+    return _planned(spark, sf_dir, "D", _EVERY)
 
 
 def plan_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why pairs are refused with the engines of this library: requests by reason."""
-    return plan(_pairs(spark).withColumn("ceiling", F.lit("D"))).groupBy("reason").agg(F.count("*").alias("requests"))
+    """Why requests are refused with the engines of this library: requests by reason."""
+    return _planned(spark, sf_dir, "D").groupBy("reason").agg(F.count("*").alias("requests"))
 
 
 def plan_class_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs that the default ceiling B refuses although a route holds."""
-    found = plan(_pairs(spark).withColumn("ceiling", F.lit("B")), dict.fromkeys(catalog.ENGINES, True))
-    return found.where(F.startswith("reason", F.lit("ClassCeiling"))).select("req_id", "source", "target", "reason")
+    """Requests that the default ceiling B refuses although a route holds."""
+    return _planned(spark, sf_dir, "B", _EVERY).where(F.startswith("reason", F.lit("ClassCeiling"))).select("req_id", "source", "target", "reason")
 
 
 def codec_carry_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.codec_carry(spark).groupBy("container", "stream").agg(F.array_join(F.array_sort(F.collect_set("codec")), ",").alias("codecs"))
+    """How many requests bring a codec to a container that can carry it."""
+    q = _requests(spark, sf_dir)
+    streams = q.select(F.col("target").alias("container"), F.expr("stack(2, 'video', video, 'audio', audio) AS (stream, codec)"))
+    return streams.join(F.broadcast(catalog.codec_carry(spark)), ["container", "stream", "codec"]).groupBy("container", "stream", "codec").agg(F.count("*").alias("requests"))
 
 
 def enumerate_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Executable targets of each format, by the engines of this library."""
-    ready = plan(_pairs(spark).withColumn("ceiling", F.lit("D")))
-    return ready.where("reason IS NULL").groupBy("source").agg(F.count("*").alias("targets"), F.max("class").alias("worst_class"))
+    """Executable targets asked of each format, by the engines of this library, and the worst class among them."""
+    ready = _planned(spark, sf_dir, "D").where("reason IS NULL")
+    return ready.groupBy("source").agg(F.count_distinct("target").alias("targets"), F.max("class").alias("worst_class"))
 
 
 def plan_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Warnings of every pair under ceiling B, where the name claims a picture by turns."""
+    """Warnings of every request under ceiling B, where the name claims a picture by turns."""
     claimed = F.when(F.pmod("req_id", F.lit(4)) == 0, F.lit("Png"))
-    found = warned(plan(_pairs(spark).withColumn("ceiling", F.lit("B")), dict.fromkeys(catalog.ENGINES, True)), claimed)
+    found = warned(_planned(spark, sf_dir, "B", _EVERY), claimed)
     return found.select("req_id", F.array_join("warnings", ",").alias("warnings"), "blocked", "executable")
 
 
 def worker_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Routes by whether they need a worker."""
+    """Planned requests by class and by whether they need a worker."""
     kinds = catalog.formats(spark).select("id", "kind")
-    ends = catalog.routes(spark).join(F.broadcast(kinds.selectExpr("id AS source", "kind AS source_kind")), "source").join(F.broadcast(kinds.selectExpr("id AS target", "kind AS target_kind")), "target")
-    return ends.select("class", needs_worker(*map(F.col, ("source", "source_kind", "target", "target_kind"))).alias("worker")).groupBy("class", "worker").agg(F.count("*").alias("routes"))
+    ends = _planned(spark, sf_dir, "D", _EVERY).where("reason IS NULL").join(F.broadcast(kinds.selectExpr("id AS source", "kind AS source_kind")), "source").join(F.broadcast(kinds.selectExpr("id AS target", "kind AS target_kind")), "target")
+    return ends.select("class", needs_worker(*map(F.col, ("source", "source_kind", "target", "target_kind"))).alias("worker")).groupBy("class", "worker").agg(F.count("*").alias("requests"))
 
 
 def route_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.routes(spark).groupBy("class").agg(F.count("*").alias("routes"), F.count_distinct("source", "target").alias("pairs"))
+    """Planned requests by class, with the pairs of formats among them and the class that their target arms."""
+    found = _planned(spark, sf_dir, "D", _EVERY).where("reason IS NULL")
+    return found.groupBy("class", armed_class(F.col("target")).alias("armed")).agg(F.count("*").alias("requests"), F.count_distinct("source", "target").alias("pairs"))
 
 
 def _plan_sql(requests: str, available: list[str], ceiling: str) -> str:
@@ -174,25 +194,23 @@ tested AS (
 """
 
 
-_PAIRS_SQL = """SELECT s.i * 100 + t.i AS req_id, s.id AS source, t.id AS target, CASE WHEN (s.i + t.i) % 3 = 0 THEN 'h264' WHEN (s.i + t.i) % 3 = 1 THEN 'vp9' END AS video,
-  CASE WHEN t.i % 3 = 0 THEN 'aac' WHEN t.i % 3 = 1 THEN 'opus' END AS audio FROM formats s, formats t WHERE s.i <> t.i"""
+_EVENTS_SQL = f"""SELECT event_id AS req_id, s.id AS source, t.id AS target, CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _VIDEO.items())} END AS video,
+  ['aac', 'opus', NULL, 'mp3'][user_id % 4 + 1] AS audio FROM events JOIN formats s ON s.i = event_id % 50 JOIN formats t ON t.i = event_id // 50 % 50 WHERE s.i <> t.i"""
 _PAGES_SQL = f"SELECT page_id AS req_id, {_sql_format('html')} AS source, ['Markdown', 'Txt', 'Pdf', 'Csv', 'Mp4'][page_id % 5 + 1] AS target, NULL::VARCHAR AS video, NULL::VARCHAR AS audio FROM pages"
 _ALL, _OWN = list(catalog.ENGINES), [e for e, ok in catalog.ENGINES.items() if ok]
 
 QUERIES = {"plan_pages": plan_pages, "plan_first_match": plan_first_match, "plan_refusals": plan_refusals, "plan_class_ceiling": plan_class_ceiling, "codec_carry_matrix": codec_carry_matrix, "enumerate_targets": enumerate_targets, "route_classes": route_classes, "plan_warnings": plan_warnings, "worker_needs": worker_needs}
 ORACLES = {
     "plan_pages": _plan_sql(_PAGES_SQL, _OWN, "C") + "SELECT * FROM planned",
-    "plan_first_match": _plan_sql(_PAIRS_SQL, _ALL, "D") + "SELECT * FROM planned",
-    "plan_refusals": _plan_sql(_PAIRS_SQL, _OWN, "D") + "SELECT reason, count(*) AS requests FROM planned GROUP BY reason",
-    "plan_class_ceiling": _plan_sql(_PAIRS_SQL, _ALL, "B") + "SELECT req_id, source, target, reason FROM planned WHERE reason LIKE 'ClassCeiling%'",
-    "plan_warnings": _plan_sql(_PAIRS_SQL, _ALL, "B") + """, w AS (SELECT req_id, steps, reason, class, CASE WHEN req_id % 4 = 0 AND source <> 'Png' THEN 'TypeMismatch' END AS m FROM planned)
+    "plan_first_match": _plan_sql(_EVENTS_SQL, _ALL, "D") + "SELECT * FROM planned",
+    "plan_refusals": _plan_sql(_EVENTS_SQL, _OWN, "D") + "SELECT reason, count(*) AS requests FROM planned GROUP BY reason",
+    "plan_class_ceiling": _plan_sql(_EVENTS_SQL, _ALL, "B") + "SELECT req_id, source, target, reason FROM planned WHERE reason LIKE 'ClassCeiling%'",
+    "plan_warnings": _plan_sql(_EVENTS_SQL, _ALL, "B") + """, w AS (SELECT req_id, steps, reason, class, CASE WHEN req_id % 4 = 0 AND source <> 'Png' THEN 'TypeMismatch' END AS m FROM planned)
 SELECT req_id, concat_ws(',', m, CASE WHEN reason LIKE 'ClassCeiling%' THEN 'AboveAutoClass' WHEN reason IS NOT NULL THEN 'NoRoute' WHEN class > 'A' THEN 'Lossy:' || class END) AS warnings,
   reason IS NOT NULL AS blocked, reason IS NULL AS executable FROM w""",
-    "worker_needs": f"""
-WITH f AS (SELECT * FROM {catalog.sql_values([(r[1], r[2]) for r in catalog.format_rows()], 'id, kind')}), r AS (SELECT * FROM {catalog.sql_values(catalog.route_rows(), 'ord, source, target, class, requires, via')})
-SELECT class, target = 'Txt' OR target = 'Avif' OR source = 'Svg' OR (s.kind <> 'image' AND 'document' IN (s.kind, t.kind)) OR (s.kind = 'video' AND (t.kind = 'video' OR (t.kind = 'audio' AND target <> 'Mka'))) AS worker, count(*) AS routes
-FROM r JOIN f s ON s.id = source JOIN f t ON t.id = target GROUP BY 1, 2""",
-    "codec_carry_matrix": f"SELECT container, stream, string_agg(DISTINCT codec, ',' ORDER BY codec) AS codecs FROM {catalog.sql_values([(c, k, x) for k, t in (('video', catalog.VIDEO_CARRY), ('audio', catalog.AUDIO_CARRY)) for c, xs in t.items() for x in xs], 'container, stream, codec')} GROUP BY 1, 2",
-    "enumerate_targets": _plan_sql(_PAIRS_SQL, _OWN, "D") + "SELECT source, count(*) AS targets, max(class) AS worst_class FROM planned WHERE reason IS NULL GROUP BY source",
-    "route_classes": f"SELECT class, count(*) AS routes, count(DISTINCT source || '>' || target) AS pairs FROM {catalog.sql_values(catalog.route_rows(), 'ord, source, target, class, requires, via')} GROUP BY class",
+    "worker_needs": _plan_sql(_EVENTS_SQL, _ALL, "D") + """SELECT class, target = 'Txt' OR target = 'Avif' OR source = 'Svg' OR (s.kind <> 'image' AND 'document' IN (s.kind, t.kind)) OR (s.kind = 'video' AND (t.kind = 'video' OR (t.kind = 'audio' AND target <> 'Mka'))) AS worker, count(*) AS requests
+FROM planned JOIN formats s ON s.id = source JOIN formats t ON t.id = target WHERE reason IS NULL GROUP BY 1, 2""",
+    "codec_carry_matrix": _plan_sql(_EVENTS_SQL, _ALL, "D") + "SELECT container, stream, codec, count(*) AS requests FROM carry JOIN requests q ON q.target = container AND codec = CASE stream WHEN 'video' THEN q.video ELSE q.audio END GROUP BY 1, 2, 3",
+    "enumerate_targets": _plan_sql(_EVENTS_SQL, _OWN, "D") + "SELECT source, count(DISTINCT target) AS targets, max(class) AS worst_class FROM planned WHERE reason IS NULL GROUP BY source",
+    "route_classes": _plan_sql(_EVENTS_SQL, _ALL, "D") + "SELECT class, CASE WHEN target = 'Txt' THEN 'D' ELSE 'C' END AS armed, count(*) AS requests, count(DISTINCT source || '>' || target) AS pairs FROM planned WHERE reason IS NULL GROUP BY 1, 2",
 }
