@@ -144,7 +144,7 @@ PRIOR_PAIRS = {
 LOSSLESS = "Png Bmp Tiff Flac Wav Cr2 Cr3 Nef Arw Dng".split()
 LOSSY = "Jpeg Webp Avif Jxl Heic Gif Mp3 Ogg M4a Mp4 Webm".split()
 
-#: Routes by rule: sources, targets, class, requirement, intermediate formats; order is preference.
+#: Fixed values, by rule where several formats share a row: sources, targets, class, requirement, intermediate formats; order is preference.
 _RASTER = "Jpeg Png Webp Gif Bmp Tiff Avif"
 _DOCUMENT = "Txt Markdown Html Pdf Docx Odt"
 _ROUTE_RULES = [
