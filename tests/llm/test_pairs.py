@@ -367,3 +367,62 @@ def test_recall_of_verbatim_passages_against_all_pairs(spark):
     wanted = covered_by_any(texts, passages.MIN_WORDS)
     hit, total = sum(len(wanted[i] & found[i]) for i in texts), sum(map(len, wanted.values()))
     assert total > 500 and hit / total >= 0.99, (hit, total)
+
+
+@pytest.mark.parametrize("seen", [False, True])
+def test_fuzzy_passages(spark, seen):
+    """Passages of 80 words with words replaced, between strange words; also where their pieces occurred before."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(20_000)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    docs, planted, copies = [], {}, set()
+    for rate in (0.05, 0.10, 0.15, 0.18):
+        for _ in range(30):
+            passage = some(80)
+            for at in range(0, 66, 8) if seen else ():
+                docs.append(some(20) + passage[at : at + 15] + some(20))
+            docs.append(some(60) + passage + some(60))
+            copy = [rng.choice(vocabulary) if rng.random() < rate else w for w in passage]
+            if sum(a == b for a, b in zip(copy, passage, strict=True)) >= 64:
+                planted[len(docs)] = rate
+            copies.add(len(docs))
+            docs.append(some(60) + copy + some(60))
+    found = {}
+    for r in passages.passages(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")).collect():
+        found.setdefault(r["doc_id"], set()).update(range(r["passage_start"], r["passage_end"]))
+    assert set(found) <= copies  # strangers share nothing
+    words = {}
+    for d, rate in planted.items():
+        got = found.get(d, set())
+        assert all(56 <= w < 144 for w in got)
+        words.setdefault(rate, []).append(len(got & set(range(60, 140))) / 80)
+    shares = [x for xs in words.values() for x in xs]
+    assert sum(shares) >= 0.9 * len(shares)
+    assert all(sum(xs) >= (0.9 if rate < 0.18 else 0.85) * len(xs) for rate, xs in words.items()), {r: sum(x) / len(x) for r, x in words.items()}
+
+
+def test_a_link_has_its_whole_extent(spark):
+    """Two documents share 400 words whose halves occurred before apart from each other."""
+    rng = random.Random(12)
+    some = lambda n: [f"v{rng.randrange(30_000)}" for _ in range(n)]
+    shared = some(400)
+    docs = [(1, some(30) + shared[:200] + some(30)), (2, some(30) + shared[200:] + some(30)), (10, some(40) + shared + some(40)), (11, some(50) + shared + some(50))]
+    rows = passages.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")).where("doc_id = 11 AND other_id = 10").collect()
+    assert [(r["start_word"], r["end_word"], r["other_start"], r["other_end"]) for r in rows] == [(50, 450, 40, 440)]
+
+
+def test_onward_by_a_plain_loop():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n, price = int(rng.integers(0, 200)), int(rng.choice([2, 4]))
+        a = rng.integers(0, 9, n)
+        b = np.where(rng.random(n) < rng.choice([0.05, 0.3, 0.9]), 99, a)
+        total, best, end, unequal, bad = 0, 0, 0, 0, 0
+        for i in range(n):
+            total += 1 if a[i] == b[i] else -price
+            unequal += a[i] != b[i]
+            if total > best:
+                best, end, bad = total, i + 1, unequal
+            if best - total >= passages.DROP:
+                break
+        assert passages.onward(a, b, price) == (end, bad)

@@ -2,13 +2,11 @@
 
 Seeds are hashes of five words in a row, thinned to the smallest of every eight in a row, so that
 any run of 12 words that two documents share yields a common seed. A seed also makes a long seed with
-the next one that ends ``LONG`` words or more after its start. All occurrences of a seed, short or long, are
-linked to its first one only (in the smallest document), never pairwise, so a passage in thousands of
-documents costs thousands of links. The short seeds of a passage may have first occurred in many
-documents that share a few words each; its long seeds occurred only where the words around them did,
-so every part of a verbatim passage is linked to a document that shares a chain of MIN_CHAIN words
-with it. Matches of a document with another are chained in order, with
-gap costs, through a Fenwick tree; chains are extended and aligned word by word, those that agree
+the next one that ends ``LONG`` words or more after its start. Every occurrence of a seed, short or long, is
+linked to its first one (in the smallest document) and to the one before, never pairwise, so a passage in
+thousands of documents costs thousands of links. The first occurrences show where the pieces of a
+passage come from; the one before shows who held them together last. Matches of a document with another are chained in order, with
+gap costs, through a Fenwick tree; chains are extended across unequal words while more than two in three agree, and aligned word by word. Those that agree
 in less than 0.8 of their words are cut at their worst gaps, and the parts that agree stay. Passages that touch are merged per document, since their
 seeds may have first occurred in different documents, and those of ``MIN_WORDS`` words or more are
 reported.
@@ -48,6 +46,10 @@ MARGIN = 64
 #: Words of a block, the unit in which documents are read for alignment.
 BLOCK = 256
 MIN_CHAIN, MIN_WORDS, SIMILARITY = 16, 40, 0.8
+#: Matches of a pair that call for an alignment where the matches themselves span too little for a passage.
+FEW = 2
+#: Documents of a seed among which one before is sought.
+NEAR_ROWS = 1000
 #: A seed is worth its words; a word of gap on either side costs this much.
 GAP = 0.1
 TOUCH = 12
@@ -119,13 +121,13 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_seeds(docs: DataFrame) -> DataFrame:
-    """``seed, id, part, at, head_id`` of the seeds that occur again, written out.
+    """``seed, id, part, at, n, head_id`` of the seeds that occur again, written out.
 
     The aggregation over all seeds keeps plain numbers only, which are hashed and not sorted; what
     is left after it is a small part.
     """
     seeds = written(keyed(docs).mapInArrow(_seeds, "seed long, id long, part long, at long"), "seeds")
-    again = written(seeds.groupBy("seed").agg(F.count("*").alias("n"), F.min("id").alias("head_id")).where("n > 1").select("seed", "head_id"), "repeated-seeds")
+    again = written(seeds.groupBy("seed").agg(F.count("*").alias("n"), F.min("id").alias("head_id")).where("n > 1").select("seed", "n", "head_id"), "repeated-seeds")
     repeated = written(seeds.join(again.hint("merge"), "seed"), "seeds-again")
     forget(seeds)
     forget(again)
@@ -133,14 +135,24 @@ def repeated_seeds(docs: DataFrame) -> DataFrame:
 
 
 def matches(repeated: DataFrame) -> DataFrame:
-    """``id, part, other, other_part, pos, other_pos``: seeds linked to their first occurrence, long ones by both of theirs."""
+    """``id, part, other, other_part, pos, other_pos``: seeds linked to their first occurrence and to the one before, long ones by both of theirs.
+
+    The pieces of a passage may each have occurred somewhere before; the document that holds them together
+    is found as the last one before. A seed of very many documents is dealt into groups of about
+    ``NEAR_ROWS`` of them, and is linked to the one before in its group.
+    """
     heads = repeated.where("id = head_id").groupBy("seed").agg(F.min(F.struct("part", "at")).alias("head"))
     heads = written(heads, "seed-heads")  # so that AQE can split a seed of many documents
     linked = repeated.join(heads.hint("merge"), "seed").where("id <> head_id OR part <> head.part")
+    links = linked.select("id", "part", "at", F.col("head_id").alias("other"), F.col("head.part").alias("other_part"), F.col("head.at").alias("other_at"))
+    group = F.pmod(F.xxhash64("id", "part"), F.ceil(F.col("n") / NEAR_ROWS))
+    before = F.lag(F.struct("id", "part", "at")).over(W.partitionBy("seed", "group").orderBy("id", "part", "at"))
+    near = repeated.where("n > 2").withColumn("group", group).withColumn("before", before).where("before.id > head_id AND (before.id <> id OR before.part <> part)")
+    links = links.unionByName(near.select("id", "part", "at", F.col("before.id").alias("other"), F.col("before.part").alias("other_part"), F.col("before.at").alias("other_at")))
     step = F.col("at") % STEPS
-    pos, other = F.expr(f"cast(at div {STEPS} as int)"), F.expr(f"cast(head.at div {STEPS} as int)")
+    pos, other = F.expr(f"cast(at div {STEPS} as int)"), F.expr(f"cast(other_at div {STEPS} as int)")
     ends = F.when(step > 0, F.array(F.lit(0), step.cast("int"))).otherwise(F.array(F.lit(0)))
-    each = linked.select("id", "part", F.col("head_id").alias("other"), F.col("head.part").alias("other_part"), pos.alias("pos"), other.alias("other_pos"), F.explode(ends).alias("by"))
+    each = links.select("id", "part", "other", "other_part", pos.alias("pos"), other.alias("other_pos"), F.explode(ends).alias("by"))
     return each.select("id", "part", "other", "other_part", (F.col("pos") + F.col("by")).alias("pos"), (F.col("other_pos") + F.col("by")).alias("other_pos"))
 
 
@@ -334,9 +346,35 @@ def alike(a: np.ndarray, b: np.ndarray) -> int:
     return n
 
 
-def extended(a: np.ndarray, b: np.ndarray, x: tuple[int, int], y: tuple[int, int]) -> tuple[int, int]:
-    """How many words before and after the spans agree as well."""
-    return alike(a[: x[0]][::-1], b[: y[0]][::-1]), alike(a[x[1] :], b[y[1] :])
+def onward(a: np.ndarray, b: np.ndarray, price: int) -> tuple[int, int]:
+    """How far two runs of words go on alike from the start, unequal words among them, and how many of those.
+
+    An equal word gains 1 and an unequal one costs ``price``; the run ends where the sum is largest, and is
+    given up where it lies ``DROP`` below that.
+    """
+    n, at, size, total, best, end, unequal, bad = min(len(a), len(b)), 0, 32, 0, 0, 0, 0, 0
+    while at < n:
+        stop = min(n, at + size)
+        same = a[at:stop] == b[at:stop]
+        sums = total + np.cumsum(np.where(same, 1, -price))
+        tops = np.maximum.accumulate(np.maximum(sums, best))
+        lost = np.flatnonzero(tops - sums >= DROP)
+        seen = int(lost[0]) if len(lost) else len(sums)
+        if seen and int(sums[:seen].max()) > best:
+            k = int(sums[:seen].argmax())
+            best, end, bad = int(sums[k]), at + k + 1, unequal + int(np.count_nonzero(~same[: k + 1]))
+        if len(lost):
+            break
+        unequal += int(np.count_nonzero(~same))
+        total, at, size = int(sums[-1]), stop, 2 * size
+    return end, bad
+
+
+def extended(a: np.ndarray, b: np.ndarray, x: tuple[int, int], y: tuple[int, int], price: int) -> tuple[int, int, int]:
+    """How many words before and after the spans belong to them, and how many of those are unequal."""
+    before, left = onward(a[: x[0]][::-1], b[: y[0]][::-1], price)
+    after, right = onward(a[x[1] :], b[y[1] :], price)
+    return before, after, left + right
 
 
 def gap_edits(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -369,6 +407,8 @@ def gap_edits(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.
     return out
 
 
+#: What an unequal word costs an extension: first little, then so much that no extension lowers an agreement below SIMILARITY.
+PRICES, DROP = (2, 4), 12
 #: Chains that miss SIMILARITY by their seeds' alignment, but not this, are aligned afresh.
 NEARLY = 0.7
 
@@ -388,10 +428,13 @@ def agreeing(a: np.ndarray, b: np.ndarray, x: list[int], y: list[int]) -> Iterat
         span = (x[low], x[high - 1] + K), (y[low], y[high - 1] + K)
         made, size = int(edits[high - 1] - edits[low]), max(span[0][1] - span[0][0], span[1][1] - span[1][0])
         if made <= (1 - NEARLY) * size:
-            before, after = extended(a, b, *span)
-            x0, x1, y0, y1 = span[0][0] - before, span[0][1] + after, span[1][0] - before, span[1][1] + after
-            identity = 1 - made / (size + before + after)
-            if identity < SIMILARITY:
+            for price in PRICES:
+                before, after, unequal = extended(a, b, *span, price)
+                x0, x1, y0, y1 = span[0][0] - before, span[0][1] + after, span[1][0] - before, span[1][1] + after
+                identity = 1 - (made + unequal) / (size + before + after)
+                if identity >= SIMILARITY:
+                    break
+            else:
                 identity = agreement(a[x0:x1], b[y0:y1])
             if identity >= SIMILARITY:
                 yield x0, x1, y0, y1, high - low, identity
@@ -452,9 +495,9 @@ def grouped(found: DataFrame) -> DataFrame:
     regions = found.withColumn("new", F.when(F.col("x0") <= reach + TOUCH + 2 * THIN, 0).otherwise(1)).withColumn("region", F.sum("new").over(doc.rowsBetween(W.unboundedPreceding, 0)))
     region = W.partitionBy("id", "part", "region")
     sized = regions.withColumn("a0", F.greatest(F.lit(0), F.min("x0").over(region) - THIN)).withColumn("a1", F.max("x1").over(region) + THIN)
-    sized = sized.where(F.col("a1") - F.col("a0") >= MIN_WORDS)
-    gathered = sized.groupBy(*pair, "a0", "a1").agg(F.collect_list(F.struct("x", "y")).alias("chains"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("x0").alias("first"), F.max("x1").alias("last"))
-    gathered = gathered.withColumn("a0", F.greatest("a0", F.col("first") - MARGIN)).withColumn("a1", F.least("a1", F.col("last") + MARGIN))
+    gathered = sized.groupBy(*pair, "a0", "a1").agg(F.collect_list(F.struct("x", "y")).alias("chains"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("x0").alias("first"), F.max("x1").alias("last"), F.sum(F.size("x")).alias("n"))
+    gathered = gathered.where((F.col("a1") - F.col("a0") >= MIN_WORDS) | (F.col("n") >= FEW))
+    gathered = gathered.withColumn("a0", F.greatest(F.lit(0), F.col("first") - MARGIN)).withColumn("a1", F.col("last") + MARGIN)
     return gathered.select(*pair, "chains", "a0", "a1", F.greatest(F.lit(0), F.col("a0") + F.col("low")).alias("b0"), (F.col("a1") + F.col("high")).alias("b1"))
 
 
