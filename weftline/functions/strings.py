@@ -60,6 +60,42 @@ def pdf_literal(s: Column) -> Column:
     return F.regexp_replace(s, r"([\\()])", r"\\$1")
 
 
+# What stands for characters that a western single-byte encoding lacks or that look alike in it.
+_LOOK_ALIKES = {"'": "\u2018\u2019\u201b", '"': "\u201c\u201d\u201f", "-": "\u2013\u2014\u2212\u2022", " ": "\u00a0\u2007\u202f\t"}
+
+
+def win_ansi(s: Column) -> Column:
+    """``text, lost``: the text in characters below 256, and how many had no place there and became ``?``.
+
+    Quotes, dashes, bullets and spaces have look-alikes, an ellipsis three dots. Control characters,
+    line feeds among them, have no place.
+    """
+    plain = F.replace(F.translate(s, "".join(_LOOK_ALIKES.values()), "".join(k * len(v) for k, v in _LOOK_ALIKES.items())), F.lit("\u2026"), F.lit("..."))
+    strange = r"[^\x20-\x7E\xA0-\xFF]"
+    return F.struct(F.regexp_replace(plain, strange, "?").alias("text"), F.regexp_count(plain, F.lit(strange)).cast("long").alias("lost"))
+
+
+def _byte_alphabet() -> tuple[str, str]:
+    """The bytes that byte-level vocabularies write as other characters, as Latin-1, and those characters."""
+    moved = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+    return "".join(map(chr, moved)), "".join(chr(256 + i) for i in range(len(moved)))
+
+
+def byte_level(s: Column) -> Column:
+    """Text as byte-level vocabularies write it: one printable character for each byte of its UTF-8."""
+    plain, written = _byte_alphabet()
+    # NUL ends no string here, but a translation cannot name it.
+    return F.translate(F.replace(F.decode(s.cast("binary"), "ISO-8859-1"), F.lit("\0"), F.lit(written[0])), plain[1:], written[1:])
+
+
+def byte_decoded(s: Column) -> Column:
+    """Back to text: characters outside the alphabet are left out, and broken UTF-8 becomes U+FFFD."""
+    plain, written = _byte_alphabet()
+    known = F.regexp_replace(s, r"[^!-~\u00A1-\u00AC\u00AE-\u0143]", "")
+    data = F.encode(F.replace(F.translate(known, written[1:], plain[1:]), F.lit(written[0]), F.lit("\0")), "ISO-8859-1")
+    return F.make_valid_utf8(data.cast("string"))
+
+
 def display_safe(s: Column) -> Column:
     """Controls, direction overrides and other invisible characters become a visible mark."""
     return F.regexp_replace(s, r"\p{C}", "�")
@@ -140,6 +176,26 @@ def md_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.withColumn("line", F.concat(F.element_at(starts, (F.pmod("pos", F.lit(10)) + 1).cast("int")), F.col("line"))).select("doc_id", "pos", markdown_escape(F.col("line")).alias("escaped"))
 
 
+def win_ansi_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of the documents in a single-byte encoding, with odd characters added by turns."""
+    odd = F.element_at(F.array(*map(F.lit, ("\u201cquoted\u201d \u2014 yes\u2026", "hello \u4e16\u754c", "a\u00a0b\tc\u2022"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    found = win_ansi(F.concat("text", odd))
+    return table(spark, sf_dir, "documents").select("doc_id", found.alias("f")).select("doc_id", F.md5(F.col("f.text").cast("binary")).alias("md5"), "f.lost", F.octet_length(F.encode("f.text", "ISO-8859-1")).cast("long").alias("bytes"))
+
+
+def byte_level_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in the alphabet of byte-level vocabularies and back."""
+    written = byte_level(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(written).cast("long").alias("chars"), F.md5(byte_decoded(written).cast("binary")).alias("md5"), F.regexp_count(written, F.lit("\u0120")).cast("long").alias("spaces"))
+
+
+def text_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages through the escapes for XML, PDF literals, screens and runs of blank lines."""
+    page = table(spark, sf_dir, "pages").select("page_id", F.concat("html", F.lit(" \t\n\n\n\nend (\\) \u202e\n")).alias("t"))
+    digest = lambda c: F.md5(c.cast("binary"))
+    return page.select("page_id", digest(xml_escape(F.col("t"))).alias("xml"), digest(pdf_literal(F.col("t"))).alias("pdf"), digest(display_safe(F.col("t"))).alias("display"), digest(blank_line_collapse(F.col("t"))).alias("blank"))
+
+
 def md_escape_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of the documents, whole, prefixed by turns so that all rules occur."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
@@ -188,7 +244,7 @@ def backtick_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.greatest(longest_run(text), F.lit(2)) + 1).alias("fence"))
 
 
-QUERIES = {"ws_collapse": ws_collapse, "html_escape": html_escape_pages, "md_escape": md_escape, "md_escape_lines": md_escape_lines, "csv_quote": csv_quote_names, "ts_format": ts_format, "folder_key": folder_keys, "template_render": template_render, "name_checks": name_checks, "name_suffixes": name_suffixes, "human_sizes": human_sizes, "backtick_fences": backtick_fences}
+QUERIES = {"ws_collapse": ws_collapse, "html_escape": html_escape_pages, "md_escape": md_escape, "md_escape_lines": md_escape_lines, "csv_quote": csv_quote_names, "ts_format": ts_format, "folder_key": folder_keys, "template_render": template_render, "name_checks": name_checks, "name_suffixes": name_suffixes, "human_sizes": human_sizes, "backtick_fences": backtick_fences, "win_ansi_texts": win_ansi_texts, "byte_level_texts": byte_level_texts, "text_escapes": text_escapes}
 ORACLES = {
     "ws_collapse": "SELECT doc_id, md5(trim(regexp_replace(text, '[\\s\\x0B\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g'))) AS digest FROM documents",
     "html_escape": "SELECT page_id, md5(regexp_replace(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;'), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g')) AS digest FROM pages",
@@ -213,4 +269,14 @@ SELECT l_orderkey, l_linenumber, printf('%02d:%02d:%02d.%03d', ms // 3600000, ms
     "name_suffixes": "SELECT p_partkey, CASE WHEN n = 1 THEN lower(p_brand) || '.csv' ELSE lower(p_brand) || ' (' || n || ').csv' END AS output_name FROM (SELECT *, row_number() OVER (PARTITION BY lower(p_brand) ORDER BY p_partkey) AS n FROM part)",
     "human_sizes": "SELECT doc_id, CASE WHEN n_chars * 37 < 1024 THEN printf('%d B', n_chars * 37) WHEN n_chars * 37 < 1048576 THEN printf('%.1f KB', n_chars * 37 / 1024.0::DOUBLE) ELSE printf('%.1f MB', n_chars * 37 / 1048576.0::DOUBLE) END AS shown FROM documents",
     "backtick_fences": "SELECT conv_id, turn, greatest(turn % 5, 2, coalesce(list_max(list_transform(regexp_extract_all(text || '``', '`+'), lambda x: length(x))), 0))::INTEGER + 1 AS fence FROM conversations",
+    "win_ansi_texts": r"""
+WITH t AS (SELECT doc_id, text || [chr(8220) || 'quoted' || chr(8221) || ' ' || chr(8212) || ' yes' || chr(8230), 'hello ' || chr(19990) || chr(30028), 'a' || chr(160) || 'b' || chr(9) || 'c' || chr(8226)][doc_id % 3 + 1] AS t FROM documents),
+p AS (SELECT doc_id, replace(translate(t, chr(8216) || chr(8217) || chr(8219) || chr(8220) || chr(8221) || chr(8223) || chr(8211) || chr(8212) || chr(8722) || chr(8226) || chr(160) || chr(8199) || chr(8239) || chr(9), repeat(chr(39), 3) || repeat(chr(34), 3) || '----    '), chr(8230), '...') AS p FROM t)
+SELECT doc_id, md5(regexp_replace(p, '[^\x20-\x7E\x{A0}-\x{FF}]', '?', 'g')) AS md5, len(regexp_extract_all(p, '[^\x20-\x7E\x{A0}-\x{FF}]')) AS lost, length(p) AS bytes FROM p""",
+    "byte_level_texts": "SELECT doc_id, strlen(text) AS chars, md5(text) AS md5, length(text) - length(replace(text, ' ', '')) AS spaces FROM documents",
+    "text_escapes": r"""
+WITH p AS (SELECT page_id, html || ' ' || chr(9) || repeat(chr(10), 4) || 'end (\) ' || chr(8238) || chr(10) AS t FROM pages)
+SELECT page_id, md5(regexp_replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')) AS xml,
+  md5(replace(replace(replace(t, '\', '\\'), '(', '\('), ')', '\)')) AS pdf, md5(regexp_replace(t, '[\p{Cc}\p{Cf}\p{Co}]', chr(65533), 'g')) AS display,
+  md5(trim(regexp_replace(regexp_replace(t, '(?m)[ \t]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), chr(10))) AS blank FROM p""",
 }
