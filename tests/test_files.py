@@ -37,6 +37,20 @@ def test_history_is_newest_first_and_skips_torn_lines(spark, tmp_path):
 BODIES = "id string, converted_at long, source_name string, body string"
 
 
+
+def test_history_reads_no_more_journals_than_needed(spark, tmp_path):
+    for i in range(60):
+        path = tmp_path / f"j{i:02}.jsonl"
+        path.write_text(f'{{"source_name": "s{i}a"}}\n{{torn\n{{"source_name": "s{i}b"}}\n')
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    assert [r["source_name"] for r in files.history(spark, str(tmp_path), 5).collect()] == ["s59b", "s59a", "s58b", "s58a", "s57b"]
+    for limit, most in ((1, 4), (8, 4), (9, 8), (1000, 60)):
+        read = files.newest_journals(spark, str(tmp_path), limit)
+        assert len(read) == most and read[0].endswith("j59.jsonl")
+    (tmp_path / "empty").mkdir()
+    assert files.newest_journals(spark, str(tmp_path / "empty"), 3) == []
+
+
 def test_receipts_are_inserted_once_and_forgotten(spark, tmp_path):
     store = str(tmp_path / "store")
     assert receipts.receipts(spark, store).count() == 0

@@ -107,11 +107,16 @@ def batch_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(_journal(spark, sf_dir), "user_id", "event_id").select("user_id", F.get_json_object("manifest", "$.files").cast("long").alias("files"), F.get_json_object("manifest", "$.rows[0].source_name").alias("first_source"))
 
 
+def with_siblings(rows: DataFrame, own: str, *shared: str) -> DataFrame:
+    """Rows that share ``shared`` with a row of another ``own``: by the extremes of each group, so that no pairs are tried."""
+    names = [f"_{c}" for c in shared]
+    groups = rows.groupBy(*[F.col(c).alias(n) for c, n in zip(shared, names, strict=True)]).agg(F.min(own).alias("_low"), F.max(own).alias("_high")).where("_low < _high").select(*names)
+    return rows.join(groups, [rows[c] == groups[n] for c, n in zip(shared, names, strict=True)], "left_semi")
+
+
 def sibling_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose source also holds another with the same text length."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    other = d.select(F.col("doc_id").alias("o"), F.col("source").alias("s"), F.col("n_chars").alias("n"))
-    return d.join(other, (d["source"] == other["s"]) & (d["n_chars"] == other["n"]) & (d["doc_id"] != other["o"]), "left_semi").select("doc_id")
+    return with_siblings(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "doc_id", "source", "n_chars").select("doc_id")
 
 
 def stem_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,16 +67,41 @@ def drop_walk(spark: SparkSession, folder: str, depth: int = MAX_DEPTH) -> DataF
     return listed(spark, root, recursive=True).where(below <= depth).withColumn("droppable", droppable(F.col("path")))
 
 
+def _entries(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    read = spark.read.schema(JOURNAL + ", _corrupt_record string").option("mode", "PERMISSIVE").option("pathGlobFilter", "*.jsonl").json(paths)
+    placed = read.select("*", F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("journal"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return placed.where("_corrupt_record IS NULL")
+
+
+def newest_journals(spark: SparkSession, folder: str, limit: int) -> list[str]:
+    """The newest journals that together hold ``limit`` whole lines, or all.
+
+    Names and times come first, without any content; then journals are counted, newest first, twice as
+    many each time. At most twice the journals that were needed are read, however many there are.
+    """
+    files = listed(spark, folder).where(F.endswith("path", F.lit(".jsonl"))).select("path", "modificationTime")
+    found, lines, step = [], 0, 4
+    while lines < limit:
+        here = [r["path"] for r in files.orderBy(F.desc("modificationTime"), F.desc("path")).offset(len(found)).limit(step).collect()]
+        if not here:
+            break
+        # A count alone would read no field, and Spark tells torn lines only by reading one.
+        lines += _entries(spark, here).agg(F.count_if(F.length(F.coalesce("source_name", F.lit(""))) >= 0)).first()[0]
+        found += here
+        step = len(found)
+    return found
+
+
 def history(spark: SparkSession, folder: str, limit: int) -> DataFrame:
     """The last ``limit`` journal entries: newest journal first, last line first; torn lines are skipped.
 
     Lines are ordered by their file's time and name, the block they were read from and their place
-    there, so no file has to fit one task.
+    there, so no file has to fit one task. Journals older than needed are not read.
     """
-    entries = spark.read.schema(JOURNAL + ", _corrupt_record string").option("mode", "PERMISSIVE").option("pathGlobFilter", "*.jsonl").json(folder)
-    placed = entries.select("*", F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("journal"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    newest = placed.where("_corrupt_record IS NULL").orderBy(F.desc("at"), F.desc("journal"), F.desc("block"), F.desc("line")).limit(limit)
-    return newest.select("source_name", "output_name", "content_id", "outcome", "reason", "output_bytes", "receipt_path", "at")
+    newest = newest_journals(spark, folder, limit)
+    entries = _entries(spark, newest) if newest else _entries(spark, folder)
+    kept = entries.orderBy(F.desc("at"), F.desc("journal"), F.desc("block"), F.desc("line")).limit(limit)
+    return kept.select("source_name", "output_name", "content_id", "outcome", "reason", "output_bytes", "receipt_path", "at")
 
 
 @F.pandas_udf(StringType())
