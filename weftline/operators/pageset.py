@@ -35,6 +35,41 @@ def parse_spec(spec: Column, have: Column) -> Column:
     return F.struct(F.when(error.isNull(), pages).alias("pages"), error.alias("error"))
 
 
+def parse_values(text: Column, arity: int) -> Column:
+    """``3:90;5:180`` to a struct of ``values``, an array of ``page`` and ``numbers``, and ``error``; one of the two is null.
+
+    Each page carries ``arity`` numbers, parted by commas. Blank text names no page. The first wrong entry is
+    the error, as a part of what was asked for must not be done alone.
+    """
+    entries = F.filter(F.split(F.coalesce(text, F.lit("")), ";"), lambda e: F.trim(e) != "")
+    page = lambda e: F.trim(F.split_part(e, F.lit(":"), F.lit(1)))
+    rest = lambda e: F.split(F.regexp_replace(e, "^[^:]*:", ""), ",")
+    numbers = lambda e: F.transform(rest(e), lambda v: F.trim(v).try_cast("double"))
+    plain = lambda v: F.regexp_like(F.trim(v), F.lit(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"))
+    problem = lambda e: (
+        F.when(~F.contains(e, F.lit(":")), "not page:value")
+        .when(~F.regexp_like(page(e), F.lit("^[+]?[0-9]{1,18}$")), "not a page number")
+        .when(page(e).try_cast("long") == 0, "pages are numbered from 1")
+        .when(F.exists(rest(e), lambda v: ~plain(v)), "not a number")
+        .when(F.size(rest(e)) != arity, "wrong number of values")
+        .when(F.exists(numbers(e), lambda v: F.abs(v) > 3.4028235e38), "not a number")
+    )
+    problems = F.filter(F.transform(entries, problem), lambda x: x.isNotNull())
+    values = F.transform(entries, lambda e: F.struct(page(e).try_cast("long").alias("page"), numbers(e).alias("numbers")))
+    error = F.get(problems, F.lit(0))
+    return F.struct(F.when(error.isNull(), values).alias("values"), error.alias("error"))
+
+
+def cropped(media: Column, current: Column, insets: Column) -> Column:
+    """The crop box that insets leave of the current one, within the media box; null if they leave nothing.
+
+    Boxes are structs of ``x0, y0, x1, y1``; insets an array of left, bottom, right and top.
+    """
+    at = lambda i: F.get(insets, F.lit(i))
+    box = [F.greatest(current["x0"] + at(0), media["x0"]), F.greatest(current["y0"] + at(1), media["y0"]), F.least(current["x1"] - at(2), media["x1"]), F.least(current["y1"] - at(3), media["y1"])]
+    return F.when((box[2] > box[0]) & (box[3] > box[1]), F.struct(*[c.alias(n) for c, n in zip(box, ("x0", "y0", "x1", "y1"), strict=True)]))
+
+
 def complement(pages: Column, have: Column) -> Column:
     """The other pages; null if none would be left."""
     rest = F.array_except(F.sequence(F.lit(1), have), pages)
@@ -124,6 +159,20 @@ def page_rotate_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turned.groupBy("doc_id", "turn").agg(F.array_join(F.array_sort(F.collect_list("page")).cast("array<string>"), ",").alias("pages"))
 
 
+#: Crops asked for by turns; the fourth and later ones are wrong.
+CROPS = ("1:10,20,30,40; 2 : -5,0,0.5,1e1 ;", "", "3:300,0,300,0", "2", "x:1,1,1,1", "0:1,1,1,1", "1:1,2,3", "1:1,2,3,y", "1:1,2,3,inf")
+
+
+def page_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crops of the documents' pages: boxes that are left, or why a request is refused."""
+    asked = F.element_at(F.array(*map(F.lit, CROPS)), (F.col("doc_id") % len(CROPS) + 1).cast("int"))
+    parsed = table(spark, sf_dir, "documents").select("doc_id", "n_chars", parse_values(asked, 4).alias("p"))
+    box = lambda a, b, c, d: F.struct(*[x.cast("double").alias(n) for x, n in zip((a, b, c, d), ("x0", "y0", "x1", "y1"), strict=True)])
+    each = parsed.select("doc_id", "n_chars", "p.error", F.explode_outer("p.values").alias("v"))
+    media, current = box(F.lit(0), F.lit(0), F.lit(595), F.lit(842)), box(F.lit(5), F.lit(0), F.lit(590), F.col("n_chars") % 900)
+    return each.select("doc_id", "v.page", "error", cropped(media, current, F.col("v.numbers")).alias("c")).select("doc_id", "page", "error", "c.x0", "c.y0", "c.x1", "c.y1")
+
+
 def page_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every ten documents by id merged into one: where each of their pages comes to be."""
     pages = _pages_of(spark, sf_dir).select(F.floor(F.col("doc_id") / 10).alias("merged"), "doc_id", F.explode(F.sequence(F.lit(1), F.col("have"))).alias("page"))
@@ -136,7 +185,7 @@ def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HAVE = "SELECT doc_id, ceil(len(string_split(text, chr(10))) / 2.0)::INTEGER AS have FROM documents"
-QUERIES = {"page_spec": page_spec, "page_complement": page_complement, "page_split_every": page_split_every, "page_split_boundaries": page_split_boundaries, "page_reorder": page_reorder, "page_rotate_crop": page_rotate_crop, "page_merge": page_merge, "page_counts": page_counts}
+QUERIES = {"page_spec": page_spec, "page_complement": page_complement, "page_split_every": page_split_every, "page_split_boundaries": page_split_boundaries, "page_reorder": page_reorder, "page_rotate_crop": page_rotate_crop, "page_merge": page_merge, "page_counts": page_counts, "page_crops": page_crops}
 ORACLES = {
     "page_merge": f"""
 SELECT doc_id // 10 AS merged, doc_id, page::INTEGER AS page, row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id, page) AS place FROM (SELECT doc_id, unnest(range(1, have + 1)) AS page FROM ({_HAVE}))""",
@@ -159,4 +208,10 @@ z AS (SELECT doc_id, list_prepend(1, list_transform(cuts, lambda x: x + 1)) AS f
 SELECT doc_id, (i - 1)::INTEGER AS part, firsts[i]::INTEGER AS first, lasts[i]::INTEGER AS last FROM (SELECT *, unnest(range(1, len(firsts) + 1)) AS i FROM z)""",
     "page_reorder": f"SELECT doc_id AS doc, row_number() OVER (PARTITION BY doc_id ORDER BY page DESC)::INTEGER AS place, page::INTEGER AS page FROM (SELECT doc_id, unnest(range(1, have + 1)) AS page FROM ({_HAVE})) WHERE page % 2 = 0",
     "page_rotate_crop": f"SELECT doc_id, ((page * 90 + 270) % 360)::INTEGER AS turn, string_agg(page::VARCHAR, ',' ORDER BY page) AS pages FROM (SELECT doc_id, unnest(range(1, have + 1)) AS page FROM ({_HAVE})) GROUP BY 1, 2",
+    "page_crops": """
+WITH d AS (SELECT doc_id, (n_chars % 900)::DOUBLE AS h, (doc_id % 9)::INTEGER AS k FROM documents),
+w(k, page, error, a, b, c, d) AS (VALUES (0, 1, NULL, 10.0, 20.0, 30.0, 40.0), (0, 2, NULL, -5.0, 0.0, 0.5, 10.0), (1, NULL, NULL, NULL, NULL, NULL, NULL), (2, 3, NULL, 300.0, 0.0, 300.0, 0.0), (3, NULL, 'not page:value', NULL, NULL, NULL, NULL),
+  (4, NULL, 'not a page number', NULL, NULL, NULL, NULL), (5, NULL, 'pages are numbered from 1', NULL, NULL, NULL, NULL), (6, NULL, 'wrong number of values', NULL, NULL, NULL, NULL), (7, NULL, 'not a number', NULL, NULL, NULL, NULL), (8, NULL, 'not a number', NULL, NULL, NULL, NULL)),
+x AS (SELECT doc_id, page, error, greatest(5 + a, 0)::DOUBLE AS x0, greatest(b, 0)::DOUBLE AS y0, least(590 - c, 595)::DOUBLE AS x1, least(h - w.d, 842)::DOUBLE AS y1 FROM d JOIN w USING (k))
+SELECT doc_id, page::BIGINT AS page, error, CASE WHEN x1 > x0 AND y1 > y0 THEN x0 END AS x0, CASE WHEN x1 > x0 AND y1 > y0 THEN y0 END AS y0, CASE WHEN x1 > x0 AND y1 > y0 THEN x1 END AS x1, CASE WHEN x1 > x0 AND y1 > y0 THEN y1 END AS y1 FROM x""",
 }

@@ -65,12 +65,23 @@ def global_priors(spark: SparkSession) -> DataFrame:
     return pairs.select("source", "target", F.coalesce("pair_prior", derived).alias("prior"), "ord")
 
 
-def score(signals: DataFrame) -> DataFrame:
-    """``prior, pair, total, folder_pair, folder_total, pattern, sibling, folder, target`` to ``score``, in this order of steps."""
-    s = blend(F.col("prior"), F.coalesce("pair", F.lit(0.0)), F.col("total"))
+# What an operation on a file scores before any habit, and what it keeps in a batch.
+OPERATION_PRIOR, BATCH_FACTOR = 0.05, 0.7
+
+
+def score(signals: DataFrame, operation: Column | None = None, batch_size: Column | None = None) -> DataFrame:
+    """``prior, pair, total, folder_pair, folder_total, pattern, sibling, folder, target`` to ``score``, in this order of steps.
+
+    Where ``operation`` holds, the target is an operation on the file: its prior is fixed, ``target`` is the
+    file's own format, and a batch of more than one file counts against it.
+    """
+    operation = F.lit(False) if operation is None else F.coalesce(operation, F.lit(False))
+    s = blend(F.when(operation, OPERATION_PRIOR).otherwise(F.col("prior")), F.coalesce("pair", F.lit(0.0)), F.col("total"))
     s = blend(s, F.coalesce("folder_pair", F.lit(0.0)), F.col("folder_total"))
     s = F.greatest(s, pattern_floor(F.col("pattern")))
     s = F.when(F.col("sibling"), F.greatest(s, F.lit(0.70))).otherwise(s)
+    if batch_size is not None:
+        s = s * F.when(operation & (batch_size > 1), BATCH_FACTOR).otherwise(1.0)
     category = folder_category(F.col("folder"))
     s = s * F.when((category == "screenshots") & F.col("target").isin("Jpeg", "Webp"), 1.2).when((category == "scans") & (F.col("target") == "Pdf"), 1.3).otherwise(1.0)
     return signals.withColumn("score", F.when(s.isNull() | F.isnan(s), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), s))))
@@ -126,6 +137,14 @@ def score_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("folder", "source", "target", F.round("score", 6).alias("score"), "place", (F.col("score") >= ARM).alias("armed"), (F.col("score") >= LEAD).alias("leads"))
 
 
+def operation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations on files, alone and in batches: orders as files, their customers' folders as habits."""
+    found = history(_journal(spark, sf_dir)).select("source", "folder", "total", "folder_total").distinct()
+    sizes = found.withColumn("batch", F.explode(F.array(F.lit(1), F.lit(2))))
+    signals = sizes.select("*", F.lit(None).cast("double").alias("prior"), (F.col("total") / 4).alias("pair"), (F.col("folder_total") / 3).alias("folder_pair"), F.lit(0).alias("pattern"), F.lit(False).alias("sibling"), F.col("source").alias("target"))
+    return score(signals, F.lit(True), F.col("batch")).select("source", "folder", "batch", F.round("score", 6).alias("score"))
+
+
 def folder_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best target of each folder and source: a top-1 by ``max_by``, without a window."""
     scored = score(_signals(spark, sf_dir))
@@ -144,11 +163,14 @@ b3 AS (SELECT *, greatest(s2, CASE pattern WHEN 0 THEN 0 WHEN 1 THEN 0.7 WHEN 2
   CASE WHEN contains(folder, 'screenshot') AND target IN ('Jpeg', 'Webp') THEN 1.2 WHEN contains(folder, 'scan') AND target = 'Pdf' THEN 1.3 ELSE 1.0 END AS s3 FROM b2),
 sc AS (SELECT *, least(1.0, greatest(0.0, s3)) AS score FROM b3)"""
 
-QUERIES = {"history_decay": history_decay, "prior_matrix": prior_matrix, "score_rank": score_rank, "folder_top": folder_top}
+QUERIES = {"history_decay": history_decay, "prior_matrix": prior_matrix, "score_rank": score_rank, "folder_top": folder_top, "operation_scores": operation_scores}
 ORACLES = {
     "history_decay": f"WITH {_HISTORY} SELECT folder, source, target, round(folder_pair, 5) AS folder_pair, round(pair, 5) AS pair, round(total, 5) AS total, round(folder_total, 5) AS folder_total FROM hh",
     "prior_matrix": f"""WITH {_PRIORS}, q AS (SELECT s.id AS source, t.id AS target, count(*) AS requests FROM events JOIN f s ON s.i = event_id % 50 JOIN f t ON t.i = event_id // 50 % 50 GROUP BY 1, 2)
 SELECT source, target, requests, round(prior, 9) AS prior FROM q JOIN pr USING (source, target)""",
     "score_rank": f"WITH {_HISTORY}, {_PRIORS}, {_SCORED} SELECT folder, source, target, round(score, 6) AS score, row_number() OVER (PARTITION BY folder, source ORDER BY score DESC, ord)::INTEGER AS place, score >= 0.85 AS armed, score >= 0.6 AS leads FROM sc",
     "folder_top": f"WITH {_HISTORY}, {_PRIORS}, {_SCORED} SELECT folder, source, arg_max(target, (score, -ord)) AS target FROM sc GROUP BY 1, 2",
+    "operation_scores": f"""WITH {_HISTORY}, d AS (SELECT DISTINCT source, folder, total, folder_total FROM hh),
+s AS (SELECT *, 0.05::DOUBLE * (1 - total / (total + 3)) + 0.25::DOUBLE * (total / (total + 3)) AS s1 FROM d)
+SELECT source, folder, batch::INTEGER AS batch, round(least(1.0, (s1 * (1 - folder_total / (folder_total + 3)) + (1 / 3.0::DOUBLE) * (folder_total / (folder_total + 3))) * CASE WHEN batch > 1 THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END), 6) AS score FROM s, (VALUES (1), (2)) b(batch)""",
 }
