@@ -175,8 +175,8 @@ def track_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def track_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tracks from 44,100 to 16,000 values a second."""
-    return resampled_tracks(_tracks(spark, sf_dir), 44_100, 16_000).select("track", "k", F.round("v", 6).alias("v"))
+    """Tracks from 44,100 to 16,000 values a second, as amplitudes."""
+    return resampled_tracks(_tracks(spark, sf_dir), 44_100, 16_000).select("track", "k", F.round(F.col("v") / 700, 6).alias("v"))
 
 
 def hann_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,7 +213,7 @@ WITH t AS ({_TRACKS}), m AS (SELECT a.track, a.nth, any_value(a.v) AS v, pow(0.9
 SELECT track, nth, round(mean, 6) AS mean, round((v - mean) / 40, 6) AS level FROM m""",
     "track_resampled": f"""
 WITH t AS ({_TRACKS}), n AS (SELECT track, unnest(range((max(nth) * 16000) // 44100 + 1)) AS k FROM t GROUP BY track), p AS (SELECT track, k, k * 44100 // 16000 AS i, (k * 44100 % 16000) / 16000.0 AS f FROM n)
-SELECT p.track, k, round(a.v + CASE WHEN f = 0 THEN 0 ELSE (b.v - a.v) * f END, 6) AS v FROM p JOIN t a ON a.track = p.track AND a.nth = i LEFT JOIN t b ON b.track = p.track AND b.nth = i + 1""",
+SELECT p.track, k, round((a.v + CASE WHEN f = 0 THEN 0 ELSE (b.v - a.v) * f END) / 700, 6) AS v FROM p JOIN t a ON a.track = p.track AND a.nth = i LEFT JOIN t b ON b.track = p.track AND b.nth = i + 1""",
     "hann_frames": """
 WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT id, list_concat(list_reverse(e[2:9]), e, list_reverse(e[len(e) - 8 : len(e) - 1])) AS xs FROM v),
 w AS (SELECT id, xs, unnest(range(0, len(xs) - 15, 8)) AS pos FROM p)
