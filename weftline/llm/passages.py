@@ -138,7 +138,7 @@ def matches(repeated: DataFrame) -> DataFrame:
     """``id, part, other, other_part, pos, other_pos``: seeds linked to their first occurrence and to the one before, long ones by both of theirs.
 
     The pieces of a passage may each have occurred somewhere before; the document that holds them together
-    is found as the last one before. A seed of very many documents is dealt into groups of about
+    is found as the last one before, by its short seeds. A seed of very many documents is dealt into groups of about
     ``NEAR_ROWS`` of them, and is linked to the one before in its group.
     """
     heads = repeated.where("id = head_id").groupBy("seed").agg(F.min(F.struct("part", "at")).alias("head"))
@@ -147,7 +147,7 @@ def matches(repeated: DataFrame) -> DataFrame:
     links = linked.select("id", "part", "at", F.col("head_id").alias("other"), F.col("head.part").alias("other_part"), F.col("head.at").alias("other_at"))
     group = F.pmod(F.xxhash64("id", "part"), F.ceil(F.col("n") / NEAR_ROWS))
     before = F.lag(F.struct("id", "part", "at")).over(W.partitionBy("seed", "group").orderBy("id", "part", "at"))
-    near = repeated.where("n > 2").withColumn("group", group).withColumn("before", before).where("before.id > head_id AND (before.id <> id OR before.part <> part)")
+    near = repeated.where(f"n > 2 AND at % {STEPS} = 0").withColumn("group", group).withColumn("before", before).where("before.id > head_id AND (before.id <> id OR before.part <> part)")
     links = links.unionByName(near.select("id", "part", "at", F.col("before.id").alias("other"), F.col("before.part").alias("other_part"), F.col("before.at").alias("other_at")))
     step = F.col("at") % STEPS
     pos, other = F.expr(f"cast(at div {STEPS} as int)"), F.expr(f"cast(other_at div {STEPS} as int)")
@@ -352,7 +352,10 @@ def onward(a: np.ndarray, b: np.ndarray, price: int) -> tuple[int, int]:
     An equal word gains 1 and an unequal one costs ``price``; the run ends where the sum is largest, and is
     given up where it lies ``DROP`` below that.
     """
-    n, at, size, total, best, end, unequal, bad = min(len(a), len(b)), 0, 32, 0, 0, 0, 0, 0
+    near = -(-DROP // price)
+    if not (a[: min(near, len(b))] == b[: min(near, len(a))]).any():  # given up before anything is gained
+        return 0, 0
+    n, at, size, total, best, end, unequal, bad = min(len(a), len(b)), 0, 128, 0, 0, 0, 0, 0
     while at < n:
         stop = min(n, at + size)
         same = a[at:stop] == b[at:stop]
