@@ -68,6 +68,28 @@ def test_json_arrays_at_every_border(spark, tmp_path, tiny_blocks, block, indent
     assert [json.loads(r["object"]) for r in found] == OBJECTS and [r["row"] for r in found] == list(range(1, 6))
 
 
+@pytest.mark.parametrize("size", [3, 40])
+def test_a_json_array_in_parts(spark, tmp_path, tiny_blocks, size):
+    """Parts may end between any characters: behind a brace, in a string, or with a line feed of their own."""
+    text = json.dumps(OBJECTS, ensure_ascii=False, indent=1)
+    for i, at in enumerate(range(0, len(text), size)):
+        (tmp_path / f"part-{i:05d}.txt").write_text(text[at : at + size])
+    tiny_blocks(1 << 20)
+    found = splits.json_objects(splits.lines(spark, str(tmp_path), "}", parts=True)).orderBy("row").collect()
+    assert [json.loads(r["object"]) for r in found] == OBJECTS
+    (tmp_path / "lines").mkdir()
+    for i, piece in enumerate(["[\n", '{"a": "}"}\n', ', {"b": {}}\n', "]\n"]):
+        (tmp_path / "lines" / f"part-{i}").write_text(piece)
+    assert [r["object"] for r in splits.json_objects(splits.lines(spark, str(tmp_path / "lines"), "}", parts=True)).orderBy("row").collect()] == ['{"a": "}"}', '{"b": {}}']
+
+
+@pytest.mark.parametrize("text", ['[{"a": 1}, {"b": 2}', '[{"a": 1}]}', '\ufeff[{"a": 1}'])
+def test_an_array_that_ends_in_a_brace_is_an_error(spark, tmp_path, text):
+    (tmp_path / "a.json").write_text(text)
+    with pytest.raises(Exception, match="does not end"):
+        splits.json_objects(splits.lines(spark, str(tmp_path / "a.json"), "}")).collect()
+
+
 @pytest.mark.parametrize("text,why", [("{not json", "does not end"), ('{"a": 1}', "does not end"), ('[1, {"a": 1}]', "not an array"), ('[{"a": 1}', "does not end"), ('[{"a": 1}] [', "does not end"), ('[{"a": 1} {"b": 2}]', "not an array")])
 def test_what_is_no_array_of_objects_is_an_error(spark, tmp_path, text, why):
     (tmp_path / "a.json").write_text(text)

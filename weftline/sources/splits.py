@@ -34,21 +34,22 @@ from weftline.session import table
 
 
 def lines(spark: SparkSession, path: str, sep: str = "\n", parts: bool = False) -> DataFrame:
-    """``file, part, block, line, text``: the lines of files; ``parts``: a folder of parts is one file."""
+    """``file, part, size, block, line, text``: the lines of files; ``parts``: a folder of parts is one file."""
     found = spark.read.option("lineSep", sep).text(path)
     name = F.col("_metadata.file_path")
     file = F.regexp_replace(name, "/[^/]*$", "") if parts else name
-    return found.select(file.alias("file"), name.alias("part"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.col("value").alias("text"))
+    return found.select(file.alias("file"), name.alias("part"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.col("value").alias("text"))
 
 
-def with_state(rows: DataFrame, from_out: Column, from_in: Column, *order: str) -> DataFrame:
-    """Rows of files in order with ``_ends``: whether the state at their end is the inner one.
-
-    ``from_out`` and ``from_in`` say so for a row that begins outside, or inside. Files begin outside.
-    """
+def with_effects(rows: DataFrame, from_out: Column, from_in: Column, *order: str) -> DataFrame:
+    """Rows of files, ``ordered``, with their effects: whether the state at their end is the inner one, for a row that begins outside, or inside."""
     effect = rows.withColumn("_out", from_out).withColumn("_in", from_in)
-    effect = effect.withColumn("_swap", (F.col("_out") & ~F.col("_in")).cast("int"))
-    placed = summed(ordered(effect, "file", *order), "file", "_swap", "_swaps")
+    return ordered(effect.withColumn("_swap", (F.col("_out") & ~F.col("_in")).cast("int")), "file", *order)
+
+
+def with_state(effects: DataFrame) -> DataFrame:
+    """Rows of ``with_effects`` with ``_ends``: whether the state at their end is the inner one. Files begin outside."""
+    placed = summed(effects, "file", "_swap", "_swaps")
     fixed = F.when(F.col("_out") == F.col("_in"), F.struct(F.col("_out").alias("state"), F.col("_swaps").alias("swaps")))
     placed = filled(placed.withColumn("_fixed", fixed), "file", "_fixed")
     ends = F.coalesce("_fixed.state", F.lit(False)).cast("int") + F.col("_swaps") - F.coalesce("_fixed.swaps", F.lit(0))
@@ -88,7 +89,7 @@ def csv_records(found: DataFrame) -> DataFrame:
     each = found.select("file", "part", "block", "line", F.posexplode(pieces).alias("piece", "text"), (F.size(pieces) - 1).alias("last"))
     # The end that a piece had, wanted where a record goes on behind it.
     each = each.withColumn("end", F.when(F.col("piece") < F.col("last"), F.lit("\r")).otherwise(F.lit("\n"))).drop("last")
-    placed = with_state(each, _ends_inside(F.col("text"), _START), _ends_inside(F.col("text"), _QUOTED), "part", "block", "line", "piece")
+    placed = with_state(with_effects(each, _ends_inside(F.col("text"), _START), _ends_inside(F.col("text"), _QUOTED), "part", "block", "line", "piece"))
     placed = _before(placed, "_ends", F.lit(False)).withColumn("begins", (~F.col("inside")).cast("int"))
     whole = summed(placed.select("file", "_at", "_slot", "text", "end", "begins"), "file", "begins", "record_no")
     joined = F.array_sort(F.collect_list(F.struct("_at", "text", "end")))
@@ -121,7 +122,7 @@ def csv_file_cells(spark: SparkSession, path: str, parts: bool = False) -> DataF
 
 
 def _walked(text: Column, inside: bool) -> Column:
-    """``(inside, depth)`` after a piece and its ``}``: whether a string is open, and by how much brackets open."""
+    """``(inside, depth)`` after a piece, without a ``}`` behind it: whether a string is open, and by how much brackets open."""
     count = lambda x, signs: F.length(x) - F.length(F.translate(x, signs, ""))
     step = lambda s, i, d: F.struct(i.alias("inside"), d.cast("int").alias("depth"))
     escaped = lambda x: F.length(F.regexp_extract(x, r"\\*$", 0)) % 2 == 1
@@ -130,7 +131,22 @@ def _walked(text: Column, inside: bool) -> Column:
     quoted = lambda s, x: step(s, F.when(s["inside"], escaped(x)).otherwise(True), s["depth"] + F.when(s["inside"], 0).otherwise(outer(x)))
     parts = F.split(text, '"')
     until = F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), F.struct(F.lit(inside).alias("inside"), F.lit(0).alias("depth")), quoted)
-    return F.struct(until["inside"].alias("inside"), (until["depth"] + F.when(until["inside"], 0).otherwise(outer(F.element_at(parts, -1)) - 1)).alias("depth"))
+    return F.struct(until["inside"].alias("inside"), (until["depth"] + F.when(until["inside"], 0).otherwise(outer(F.element_at(parts, -1)))).alias("depth"))
+
+
+def _closed(effects: DataFrame) -> DataFrame:
+    """Pieces with ``closed``: whether a ``}`` is behind them in their object.
+
+    It is behind every piece but a part's last, which may end with the part instead: then the part has a byte less
+    than its pieces and as many ``}``. (Where the reader skips a byte order mark, both have three bytes more.) A
+    compressed part counts as one that does not end in ``}``. The last piece of a file is behind all objects, with its
+    ``}`` if there is one.
+    """
+    parts = effects.groupBy("file", "part").agg(F.max("_at").alias("_last"), (F.max("size") - F.sum(F.octet_length("text") + F.lit(1).cast("long"))).alias("_rest"))
+    ends = parts.select("_last", F.col("_rest").isin(0, 3).alias("_brace"), (F.col("_last") == F.max("_last").over(W.partitionBy("file"))).alias("_final"))
+    found = effects.join(F.broadcast(ends), F.col("_at") == F.col("_last"), "left")
+    text = F.when(F.col("_final") & F.col("_brace"), F.concat("text", F.lit("}"))).otherwise(F.col("text"))
+    return found.withColumn("text", text).withColumn("closed", F.coalesce(F.col("_brace") & ~F.col("_final"), F.lit(True))).drop("_last", "_brace", "_final")
 
 
 def json_objects(found: DataFrame) -> DataFrame:
@@ -139,16 +155,18 @@ def json_objects(found: DataFrame) -> DataFrame:
     A file that is not one array of objects is an error.
     """
     pieces = found.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("o", _walked(F.col("text"), False)).withColumn("i", _walked(F.col("text"), True))
-    placed = _before(with_state(pieces, F.col("o.inside"), F.col("i.inside"), "part", "block", "line"), "_ends", F.lit(False))
-    placed = placed.select("file", "_at", "_slot", "text", "_ends", F.when(F.col("inside"), F.col("i.depth")).otherwise(F.col("o.depth")).alias("delta"))
-    deep = summed(placed, "file", "delta", "depth").withColumn("done", (~F.col("_ends") & (F.col("depth") == 1)).cast("int"))
+    placed = _before(with_state(_closed(with_effects(pieces, F.col("o.inside"), F.col("i.inside"), "part", "block", "line"))), "_ends", F.lit(False))
+    ends = F.col("closed") & ~F.col("_ends")
+    delta = F.when(F.col("inside"), F.col("i.depth")).otherwise(F.col("o.depth")) - ends.cast("int")
+    placed = placed.select("file", "_at", "_slot", "text", "closed", "_ends", delta.alias("delta"))
+    deep = summed(placed, "file", "delta", "depth").withColumn("done", (ends & (F.col("depth") == 1)).cast("int"))
     # A piece belongs to the object that ends with it or next.
     known = summed(deep, "file", "done", "upto").withColumn("row", F.col("upto") - F.col("done") + 1)
-    texts = known.groupBy("file", "row").agg(F.array_sort(F.collect_list(F.struct("_at", "text"))).alias("pieces"), F.max("done").alias("done"))
-    texts = texts.select("file", "row", "done", F.concat(F.array_join(F.transform("pieces", lambda p: p["text"]), "}"), F.when(F.col("done") == 1, "}").otherwise("")).alias("text"))
+    texts = known.groupBy("file", "row").agg(F.array_sort(F.collect_list(F.struct("_at", "text", "closed"))).alias("pieces"), F.max("done").alias("done"))
+    texts = texts.select("file", "row", "done", F.array_join(F.transform("pieces", lambda p: F.concat(p["text"], F.when(p["closed"], "}").otherwise(""))), "").alias("text"))
     before = F.when(F.col("row") == 1, r"(?s)^\s*\[\s*(\{.*)$").otherwise(r"(?s)^\s*,\s*(\{.*)$")
     fault = lambda why: F.raise_error(F.concat(F.lit(f"{why}: "), F.col("file")))
-    # What is left behind the last object must close the array; there is none if the file ends at once.
+    # What is left behind the last object must close the array.
     tail = F.when(F.col("row") == 1, r"^\s*\[\s*\]\s*$").otherwise(r"^\s*\]\s*$")
     head = F.regexp(F.col("text"), before)
     object_ = F.when(head, F.regexp_extract(F.col("text"), r"(?s)^[\s\[,]*(\{.*)$", 1)).otherwise(fault("not an array of objects"))
