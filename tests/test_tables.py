@@ -1,8 +1,9 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from weftline.operators import pageset, provenance, signal, tabular, timeline
+from weftline.operators import pageset, provenance, receipts, signal, tabular, timeline
 from weftline.sources import archives
 
 
@@ -102,3 +103,9 @@ def test_journal_stream(spark, tmp_path):
     query = journal.follow(journal.once(journal.journal_stream(spark, str(folder))), lambda df, n: seen.extend(df.collect()), str(tmp_path / "state"))
     query.awaitTermination()
     assert [r["content_id"] for r in seen] == ["1"]
+
+
+def test_times_of_receipts_beyond_the_year_9999(spark):
+    rows = [(253_402_300_799,), (253_402_300_800,), (86_399 * 5_999_999,), (-5,)]
+    found = spark.createDataFrame(rows, "s long").select(receipts.iso_time(F.col("s")).alias("t")).collect()
+    assert [r["t"] for r in found] == ["9999-12-31T23:59:59Z", "10000-01-01T00:00:00Z", "18397-04-01T13:20:01Z", "1970-01-01T00:00:00Z"]

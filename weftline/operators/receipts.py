@@ -31,7 +31,8 @@ def iso_time(seconds: Column) -> Column:
     s = F.greatest(seconds, F.lit(0))
     part = lambda x: F.lpad(x.cast("string"), 2, "0")
     rest = s % 86_400
-    day = F.date_from_unix_date(F.floor(s / 86_400).cast("int")).cast("string")
+    # Spark writes years of five digits with a plus.
+    day = F.ltrim(F.date_from_unix_date(F.floor(s / 86_400).cast("int")).cast("string"), F.lit("+"))
     return F.concat(day, F.lit("T"), part(F.floor(rest / 3600)), F.lit(":"), part(F.floor(rest % 3600 / 60)), F.lit(":"), part(rest % 60), F.lit("Z"))
 
 
