@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from weftline.operators import prefix, signal
+from weftline.operators import prefix, signal, timeline
 from weftline.operators.prefix import F
 from weftline.streaming import journal
 
@@ -153,3 +153,12 @@ def test_a_missing_packet_is_an_error(spark, tmp_path):
     query = journal.resampled_stream(spark.readStream.schema(schema).parquet(folder), 2, 1).writeStream.format("memory").queryName("gap").outputMode("append").start()
     with pytest.raises(Exception, match="packet 1 is missing"):
         query.processAllAvailable()
+
+
+def test_ticks_are_exact(spark):
+    """Quotients next to a whole number, of either sign, and beyond the largest."""
+    scales = [1, 3, 41_666_667, 9_999_999_967]
+    rows = [(sign * (k * s + d), s) for s in scales for k in (0, 1, 7, 41_000_001) for d in (-1, 0, 1) for sign in (1, -1)]
+    rows += [(next(m for m in range(1, 10**9) if 0 < -m * 10**6 % 41_666_667 < 20), 41_666_667), (2**62, 1), (9_223_372_036_854, 1), (9_223_372_036_855, 1), (5, 0)]
+    found = spark.createDataFrame(rows, "ms long, s long").select("ms", "s", timeline.ms_to_ticks(F.col("ms"), F.col("s")).alias("t")).collect()
+    assert [r["t"] for r in found] == [min(m * 10**6 // max(s, 1), 2**63 - 1) for m, s in rows]

@@ -6,7 +6,7 @@ over one track or aggregations; nothing needs a whole track in one place but the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -71,7 +71,11 @@ def refusals(tracks: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def ms_to_ticks(ms: Column, scale_ns: Column) -> Column:
     """Milliseconds in ticks of ``scale_ns``, rounded down; a scale of 0 counts as 1, what is too large as the largest."""
-    exact = F.floor(ms.cast("decimal(38,0)") * 1_000_000 / F.greatest(scale_ns, F.lit(1)).cast("decimal(10,0)"))
+    # In whole numbers: a decimal quotient is rounded to six places, and so up to the next tick where it is that close.
+    ms, scale = ms.cast("long"), F.greatest(scale_ns, F.lit(1)).cast("long")
+    rest = F.pmod(ms, scale)
+    whole = F.call_function("div", ms - rest, scale).cast("decimal(38,0)") * F.lit(1_000_000).cast("decimal(7,0)")
+    exact = whole + F.call_function("div", rest * 1_000_000, scale)
     return F.least(exact, F.lit(2**63 - 1).cast("decimal(38,0)")).cast("long")
 
 
