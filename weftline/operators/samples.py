@@ -66,7 +66,7 @@ def sample_table(tracks: DataFrame, times: DataFrame, offsets: DataFrame, chunk_
     offset = F.when(F.col("nth") < F.col("shown.end"), F.col("shown.offset")).otherwise(0)
     return known.select(
         "track", "nth", F.floor(ticks * 1000 / F.col("timescale")).cast("long").alias("ts_ms"), _truncated(offset, F.col("timescale")).alias("offset_ms"),
-        (F.col("place.at") + F.col("upto") - F.col("size") - F.col("place.before")).alias("at"), "size", (F.col("has_syncs").isNull() | (F.col("sync") == F.col("nth"))).alias("keyframe"),
+        (F.col("place.at") + F.col("upto") - F.col("size") - F.col("place.before")).alias("at"), "size", (F.col("has_syncs").isNull() | F.col("sync").eqNullSafe(F.col("nth"))).alias("keyframe"),
     )
 
 
