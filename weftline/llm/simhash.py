@@ -11,7 +11,7 @@ three segments in one of these ways, and each way shares one of a fingerprint's
   one: the clean segment itself, and keys of the last. Six such pairs.
 
 Keys are joined and every link is verified by the number of differing bits. Equal fingerprints are
-one row from the start. In a bucket, rows are first linked to the bucket's smallest fingerprint;
+one row from the start, and of buckets with the same fingerprints one is kept. In a bucket, rows are first linked to the bucket's smallest fingerprint;
 after components are found from those, only rows outside a bucket's most common component are
 compared with the bucket, so a large group costs its size, not its square, and no link is lost.
 
@@ -118,7 +118,10 @@ def links(fps: DataFrame) -> DataFrame:
     keyed = fps.select("fp").repartition(tasks, "fp").mapInArrow(_keys, "key long, fp long")
     # Aggregates are combined before they are shuffled, and a join with their few rows can be split
     # where a bucket is crowded; a window could not.
-    ends = keyed.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("key", "low")
+    ends = keyed.groupBy("key").agg(F.min("fp").alias("low"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("mix")).where("n > 1")
+    # Near copies share many keys, so many buckets hold the same fingerprints: one of them has all their links.
+    # Buckets are told apart by their smallest fingerprint, their size and 64 bits of a hash of all.
+    ends = ends.groupBy("low", "n", "mix").agg(F.min("key").alias("key")).select("key", "low")
     shared = written(keyed.join(written(ends, "shared-keys").hint("merge"), "key"), "buckets")
     stars = shared.where((F.col("fp") != F.col("low")) & _near("fp", "low")).select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
     first = connected(stars)
