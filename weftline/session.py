@@ -9,6 +9,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Beyond so many tasks, tasks grow.
+MOST_TASKS = 100_000
+
 
 def local_session(cores: int = 8, name: str = "weftline", **conf: str) -> SparkSession:
     """A local session for tests and benchmarks; on a cluster, pass your own session instead."""
@@ -30,6 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, per_task: int, *keys: str) -> DataFrame:
+    """Rows of a table dealt out, by ``keys`` if any, to a task per ``per_task`` of them: a small file is few tasks, whatever work its rows are."""
+    return rows.repartition(min(MOST_TASKS, rows.count() // per_task + 1), *keys)
+
+
 _SHIPPED: set[str] = set()
 
 
