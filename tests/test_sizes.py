@@ -3,6 +3,7 @@
 import pyarrow as pa
 
 from weftline.batches import slices
+from weftline.operators import features
 from weftline.sources import dxf
 
 
@@ -14,3 +15,10 @@ def test_small_files_of_many_drawings_are_many_tasks(spark, tmp_path):
 def test_batches_are_cut():
     batch = pa.RecordBatch.from_pydict({"x": list(range(150))})
     assert [b.num_rows for b in slices(iter([batch, batch.slice(0, 0)]))] == [64, 64, 22]
+
+
+def test_the_first_frames_of_a_spectrum(spark):
+    """Frames handed on are those of the whole spectrum, silence included, and only these leave Python."""
+    sounds = spark.createDataFrame([(1, [0.5, -0.5, 0.25] * 300), (2, []), (3, None)], "id long, xs array<double>")
+    whole = features.log_mel(sounds).where("frame < 10").orderBy("id", "frame").collect()
+    assert features.log_mel(sounds, 10).orderBy("id", "frame").collect() == whole and len(whole) == 30

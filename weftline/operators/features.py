@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.session import table
+from weftline.session import dealt, table
 
 # Fixed values of the speech model's input: rate, transform, hop, bands, seconds of a window.
 RATE, SIZE, HOP, BANDS, SECONDS = 16_000, 400, 160, 80, 30
@@ -32,34 +32,38 @@ def mel_filters() -> np.ndarray:
     return np.clip(np.minimum((bins - low) / (mid - low), (high - bins) / (high - mid)), 0, None) * 2 / (high - low)
 
 
-def mel_of(samples: np.ndarray, filters: np.ndarray) -> np.ndarray:
-    """``FRAMES`` rows of ``BANDS`` values of one window of mono sound; what is missing of it is silence."""
+def mel_of(samples: np.ndarray, filters: np.ndarray, frames: int = FRAMES) -> np.ndarray:
+    """The first ``frames`` of ``FRAMES`` rows of ``BANDS`` values of one window of mono sound; what is missing of it is silence."""
     x = np.asarray(samples, float)[: SECONDS * RATE]
     half = SIZE // 2
     if len(x):
         ahead = x[np.minimum(np.arange(half, 0, -1), len(x) - 1)]
         behind = x[np.maximum(len(x) - 1 - np.arange(1, half + 1), 0)]
         x = np.concatenate([ahead, x, behind])
-    x = np.pad(x, (0, max(0, FRAMES * HOP + SIZE - len(x))))
-    frames = np.lib.stride_tricks.sliding_window_view(x, SIZE)[: FRAMES * HOP : HOP]
+    # A frame that begins behind the sound has no power, and needs no transform.
+    heard = min(FRAMES, -(-len(x) // HOP))
+    x = np.pad(x, (0, max(0, heard * HOP + SIZE - len(x))))
+    heard_frames = np.lib.stride_tricks.sliding_window_view(x, SIZE)[: heard * HOP : HOP]
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(SIZE) / SIZE)
-    power = np.abs(np.fft.rfft(frames * window)) ** 2
-    logs = np.log10(np.maximum(power @ filters.T, 1e-10))
-    return (np.maximum(logs, logs.max() - 8) + 4) / 4
+    power = np.abs(np.fft.rfft(heard_frames * window)) ** 2
+    logs = np.full((FRAMES, BANDS), -10.0)
+    logs[:heard] = np.log10(np.maximum(power @ filters.T, 1e-10))
+    return (np.maximum(logs[:frames], logs.max() - 8) + 4) / 4
 
 
-def _mels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    filters = mel_filters()
-    numbers = pa.array(range(FRAMES), pa.int32())
-    for batch in batches:
-        for key, samples in zip(batch["id"].to_pylist(), batch["xs"], strict=True):
-            found = mel_of(np.array(samples.as_py() or [], float), filters)
-            values = pa.ListArray.from_arrays(pa.array(range(0, FRAMES * BANDS + 1, BANDS), pa.int32()), pa.array(found.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array([key] * FRAMES, pa.int64()), numbers, values], names=["id", "frame", "mel"])
+def log_mel(windows: DataFrame, frames: int = FRAMES) -> DataFrame:
+    """``id, xs`` (mono sound of up to 30 seconds) to ``id, frame, mel``; null counts as silence. ``frames``: hand on only the first."""
 
+    def _mels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters = mel_filters()
+        numbers = pa.array(range(frames), pa.int32())
+        for batch in batches:
+            for key, samples in zip(batch["id"].to_pylist(), batch["xs"], strict=True):
+                sound = np.empty(0) if not samples.is_valid else np.where(samples.values.is_null().to_numpy(zero_copy_only=False), np.nan, samples.values.to_numpy(zero_copy_only=False))
+                found = mel_of(sound, filters, frames)
+                values = pa.ListArray.from_arrays(pa.array(range(0, frames * BANDS + 1, BANDS), pa.int32()), pa.array(found.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array([key] * frames, pa.int64()), numbers, values], names=["id", "frame", "mel"])
 
-def log_mel(windows: DataFrame) -> DataFrame:
-    """``id, xs`` (mono sound of up to 30 seconds) to ``id, frame, mel``; null counts as silence."""
     return windows.select(F.col("id").cast("long").alias("id"), F.col("xs").cast("array<double>").alias("xs")).mapInArrow(_mels, "id long, frame int, mel array<double>")
 
 
@@ -136,8 +140,8 @@ def best_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mel_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each embedding as sound: its values, repeated for a tenth of a second, and the sums of the first ten frames."""
-    sound = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.slice(F.flatten(F.array_repeat("embedding", 200)), 1, RATE // 10).alias("xs"))
-    return log_mel(sound).where("frame < 10").select("id", "frame", F.round(F.aggregate("mel", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+    sound = dealt(table(spark, sf_dir, "embeddings"), 1024).select(F.col("vec_id").alias("id"), F.slice(F.flatten(F.array_repeat("embedding", 200)), 1, RATE // 10).alias("xs"))
+    return log_mel(sound, 10).select("id", "frame", F.round(F.aggregate("mel", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
 def embedding_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
