@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.batches import slices
 from weftline.functions import markup
 from weftline.functions.strings import collapse_whitespace, html_escape, indent_continuation, longest_run, markdown_escape
-from weftline.session import table
+from weftline.session import dealt, table
 
 PARAGRAPHS = "doc long, pos int, text string, style string, level int, number int"
 
@@ -24,7 +25,7 @@ def _reading(read: Callable[[str], list[markup.Paragraph]]):
     schema = pa.schema([("doc", pa.int64()), ("pos", pa.int32()), ("text", pa.string()), ("style", pa.string()), ("level", pa.int32()), ("number", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(doc, pos, *p) for doc, source in zip(batch["doc"].to_pylist(), batch["source"].to_pylist(), strict=True) for pos, p in enumerate(read(source or ""))]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
@@ -206,6 +207,8 @@ COLUMNS = 60
 def _glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations set in lines of 60 glyphs; user turns in larger type."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), F.when(F.col("role") == "user", 16.0).otherwise(10.0).alias("size"), F.split("text", "").alias("chars"))
+    # Each turn is some hundred glyphs: dealt out by page before that, so that no glyph is moved, and few are sorted at a time.
+    turns = dealt(turns, 1024, "doc", "page")
     g = turns.select("doc", "page", "size", F.posexplode("chars").alias("i", "ch"))
     left = (F.col("i") % COLUMNS) * F.col("size") * 0.5
     bottom = 800.0 - F.floor(F.col("i") / COLUMNS) * F.col("size") * 1.25
