@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.session import table
+from weftline.session import dealt, table
 
 TILE = 32
 # What a picture's strokes may be.
@@ -62,7 +62,7 @@ def painted(pixels: DataFrame, changes: DataFrame) -> DataFrame:
 
 def brush_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as two strokes on a picture of 40 by 24 pixels: how many pixels each leaves, and where."""
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), F.transform("embedding", lambda x: F.least(F.abs(x.cast("double")) * 3, F.lit(1.0))).alias("e"))
+    v = dealt(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "image"), 1024, "image").select("image", F.transform("embedding", lambda x: F.least(F.abs(x.cast("double")) * 3, F.lit(1.0))).alias("e"))
     point = lambda i: F.struct(F.get("e", i).alias("x"), F.get("e", i + 1).alias("y"))
     brush = lambda k: F.struct(F.lit(k).alias("ord"), (F.col("image") % 2 == k).alias("restore"), (F.lit(0.05) + F.get("e", F.lit(40 + k)) * 0.1).alias("radius"), F.array(*[point(F.lit(6 * k + 2 * j)) for j in range(3)]).alias("points"))
     strokes = v.select("image", F.explode(F.array(brush(0), brush(1))).alias("s")).select("image", "s.*")
