@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from weftline.functions.strings import win_ansi
 from weftline.operators.prefix import filled, numbered, ordered, summed
 from weftline.scratch import written
-from weftline.session import table
+from weftline.session import dealt, table
 
 # Geometry of a page in points, sizes by style, and what they are multiplied by.
 PAGE_W, PAGE_H, MARGIN, INDENT = 595, 842, 56, 18
@@ -119,7 +119,7 @@ def paginated(lines: DataFrame, room: int = ROOM) -> DataFrame:
 
 def _document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line of the documents as a paragraph, styled by its place."""
-    each = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    each = dealt(table(spark, sf_dir, "documents"), 2048).select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     style = F.when(F.col("pos") % 9 == 0, "heading").when(F.col("pos") % 9 == 4, "code").when(F.col("pos") % 9 == 5, "bullet").when(F.col("pos") % 9 == 6, "ordered").when(F.col("pos") % 9 == 7, "quote").otherwise("body")
     return each.select("doc", "pos", "text", style.alias("style"), F.when(F.col("pos") % 9 == 0, F.col("pos") % 4 + 1).otherwise(1).alias("level"), F.col("pos").alias("number"))
 
@@ -133,8 +133,10 @@ def page_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def typeset_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents wrapped and set: lines, characters and losses of every page."""
-    found = paginated(lines(_document_lines(spark, sf_dir)))
-    return found.groupBy("doc", "page").agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("chars"), F.sum("lost").alias("lost"), F.count_if("cut").alias("cut"))
+    # Written, as sampling the order would wrap every text twice more; of a line only its length goes to the pages.
+    set_ = lines(_document_lines(spark, sf_dir)).select("doc", "pos", "line", "gap", "leading", F.length("text").alias("chars"), "lost", "cut")
+    found = paginated(written(set_, "typeset-lines"))
+    return found.groupBy("doc", "page").agg(F.count("*").alias("lines"), F.sum("chars").alias("chars"), F.sum("lost").alias("lost"), F.count_if("cut").alias("cut"))
 
 
 QUERIES = {"page_breaks": page_breaks, "typeset_pages": typeset_pages}
