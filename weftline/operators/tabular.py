@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from weftline.session import table
 
+#: Rows of a file that are joined with its header together.
+BLOCK = 4096
 CELLS = "file string, row long, pos int, value string, width int"
 
 
@@ -54,11 +56,19 @@ def csv_fields(cells: DataFrame) -> DataFrame:
     """
     header = cells.where("row = 0").select("file", "pos", F.col("value").alias("key"))
     width = header.groupBy("file").agg(F.count("*").alias("columns"))
-    data = cells.where("row > 0").join(width, "file")
-    extra = data.where("pos >= columns").select("file", "row", "pos", F.concat(F.lit("extra_column_"), F.row_number().over(W.partitionBy("file").orderBy("row", "pos"))).alias("key"), "value")
-    named = data.where("pos < columns").join(header, ["file", "pos"]).select("file", "row", "pos", "key", "value")
-    rows = cells.where("row > 0 AND pos = 0").select("file", "row", "width")
-    missing = rows.join(header, "file").where("pos >= width").select("file", "row", "pos", "key", F.lit(None).cast("string").alias("value"))
+    # The header joins blocks of rows, so that no task has all of a large file.
+    block = F.floor(F.col("row") / BLOCK).alias("block")
+    blocks = cells.where("row > 0").select("file", block).distinct()
+    data = cells.where("row > 0").withColumn("block", block).join(blocks.join(width, "file"), ["file", "block"])
+    beyond = data.where("pos >= columns").select("file", "block", "row", "pos", "value")
+    earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    before = beyond.groupBy("file", "block").agg(F.count("*").alias("n")).select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    number = F.col("before") + F.row_number().over(W.partitionBy("file", "block").orderBy("row", "pos"))
+    extra = beyond.join(before, ["file", "block"]).select("file", "row", "pos", F.concat(F.lit("extra_column_"), number).alias("key"), "value")
+    headers = blocks.join(header, "file")
+    named = data.where("pos < columns").join(headers, ["file", "block", "pos"]).select("file", "row", "pos", "key", "value")
+    short = data.where("pos = 0 AND width < columns").select("file", "block", "row", F.explode(F.sequence("width", F.col("columns").cast("int") - 1)).alias("pos"))
+    missing = short.join(headers, ["file", "block", "pos"]).select("file", "row", "pos", "key", F.lit(None).cast("string").alias("value"))
     every = named.unionByName(extra).unionByName(missing)
     return every.groupBy("file", "row", "key").agg(F.max_by(F.struct("value"), "pos")["value"].alias("value"))
 
