@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.operators import samples, selection, tabular
 from weftline.sources import splits
@@ -83,6 +84,33 @@ def test_a_json_array_in_parts(spark, tmp_path, tiny_blocks, size):
     assert [r["object"] for r in splits.json_objects(splits.lines(spark, str(tmp_path / "lines"), "}", parts=True)).orderBy("row").collect()] == ['{"a": "}"}', '{"b": {}}']
 
 
+@pytest.mark.parametrize("backslashes", [1, 2, 3, 4])
+def test_backslashes_at_the_end_of_a_part_escape_what_the_next_begins_with(spark, tmp_path, tiny_blocks, backslashes):
+    """Parts of one character: of backslashes only, too."""
+    wanted = [{"a": "\\" * backslashes + '"}, {"'}, {"b": "}\\"}]
+    for i, c in enumerate(json.dumps(wanted)):
+        (tmp_path / f"part-{i:05d}").write_text(c)
+    tiny_blocks(1 << 20)
+    found = splits.json_objects(splits.lines(spark, str(tmp_path), "}", parts=True)).orderBy("row").collect()
+    assert [json.loads(r["object"]) for r in found] == wanted
+
+
+@pytest.mark.parametrize("bits", [1, 3])
+def test_slots_of_a_json_array_are_bounded(spark, tmp_path, tiny_blocks, monkeypatch, bits):
+    """However many pieces a block or a file has, no slot has more than its bound, and the objects are the same."""
+    monkeypatch.setattr(splits, "_SLOT_BITS", bits)
+    wanted = [{"a": '}"\\{' * (n % 4), "b": {"n": n}} for n in range(60)]
+    for name in ("x", "y"):
+        (tmp_path / name).write_text(json.dumps(wanted))
+    tiny_blocks(400)
+    pieces = splits.lines(spark, str(tmp_path), "}").withColumn("text", F.coalesce("text", F.lit("")))
+    placed = splits._placed(pieces, splits._blocks(pieces))
+    sizes = placed.groupBy("file", "_slot").count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] <= 1 << bits and sizes[1] >= placed.count() >> bits
+    found = splits.json_objects(splits.lines(spark, str(tmp_path), "}")).orderBy("file", "row").collect()
+    assert [json.loads(r["object"]) for r in found] == wanted * 2 and [r["row"] for r in found] == [*range(1, 61)] * 2
+
+
 @pytest.mark.parametrize("text", ['[{"a": 1}, {"b": 2}', '[{"a": 1}]}', '\ufeff[{"a": 1}'])
 def test_an_array_that_ends_in_a_brace_is_an_error(spark, tmp_path, text):
     (tmp_path / "a.json").write_text(text)

@@ -10,7 +10,8 @@ are joined to records, which are parsed apart.
 * CSV: lines end at line feeds and carriage returns; a quote opens a field only at its start, a doubled
   one stays inside. A record never leaves its quotes by accident, wherever a block ends.
 * JSON: "lines" end at ``}``, so that an array in one line is cut too. Inside strings nothing counts;
-  outside, brackets give depths, and an object ends where the depth is back at the array's.
+  outside, brackets give depths, and an object ends where the depth is back at the array's. Pieces are not
+  sorted: their blocks are numbered, and a slot is a bounded run of a block's pieces.
 
 A folder may hold one logical file in parts, in order of their names. Blank lines are no records; a last
 record without its closing quote ends with the file, less its last line end.
@@ -41,10 +42,14 @@ def lines(spark: SparkSession, path: str, sep: str = "\n", parts: bool = False)
     return found.select(file.alias("file"), name.alias("part"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.col("value").alias("text"))
 
 
+def _effects(rows: DataFrame, from_out: Column, from_in: Column) -> DataFrame:
+    effect = rows.withColumn("_out", from_out).withColumn("_in", from_in)
+    return effect.withColumn("_swap", (F.col("_out") & ~F.col("_in")).cast("int"))
+
+
 def with_effects(rows: DataFrame, from_out: Column, from_in: Column, *order: str) -> DataFrame:
     """Rows of files, ``ordered``, with their effects: whether the state at their end is the inner one, for a row that begins outside, or inside."""
-    effect = rows.withColumn("_out", from_out).withColumn("_in", from_in)
-    return ordered(effect.withColumn("_swap", (F.col("_out") & ~F.col("_in")).cast("int")), "file", *order)
+    return ordered(_effects(rows, from_out, from_in), "file", *order)
 
 
 def with_state(effects: DataFrame) -> DataFrame:
@@ -134,19 +139,56 @@ def _walked(text: Column, inside: bool) -> Column:
     return F.struct(until["inside"].alias("inside"), (until["depth"] + F.when(until["inside"], 0).otherwise(outer(F.element_at(parts, -1)))).alias("depth"))
 
 
-def _closed(effects: DataFrame) -> DataFrame:
-    """Pieces with ``closed``: whether a ``}`` is behind them in their object.
+#: A piece's place in its block has so many bits, of which the lower ones are its place in a slot.
+_PLACE_BITS, _SLOT_BITS = 36, 15
+
 
-    It is behind every piece but a part's last, which may end with the part instead: then the part has a byte less
-    than its pieces and as many ``}``. (Where the reader skips a byte order mark, both have three bytes more.) A
-    compressed part counts as one that does not end in ``}``. The last piece of a file is behind all objects, with its
-    ``}`` if there is one.
+def _blocks(pieces: DataFrame) -> DataFrame:
+    """A row per block that holds pieces: its ``place`` in its file, and what its part's first and last piece need.
+
+    ``id`` stands for the file. A ``}`` is behind every piece but a part's last, which may end with the part instead:
+    then the part has a byte less than its pieces and as many ``}`` (``brace``). (Where the reader skips a byte order
+    mark, both have three bytes more.) A compressed part counts as one that does not end in ``}``.
+
+    Backslashes that a part ends in may escape what the next begins with. Its last piece loses these ``cut``, and the
+    next piece has them in front (``carry``), so that every piece holds its escapes whole and the text stays as it is.
+    """
+    tail = F.length("text") - F.length(F.rtrim("text", F.lit("\\")))
+    last = lambda x: F.max_by(x, "line")
+    found = pieces.groupBy("file", "part", "block").agg(
+        F.max("size").alias("size"), F.count("*").alias("n"), F.sum(F.octet_length("text") + F.lit(1).cast("long")).alias("bytes"), F.min("line").alias("first"), F.max("line").alias("last"),
+        last(tail).alias("tail"), last(tail == F.length("text")).alias("only"),
+    )
+    runs = written(found, "blocks")
+    parts = runs.groupBy("file", "part").agg(
+        (F.max("size") - F.sum("bytes")).isin(0, 3).alias("brace"), F.min_by("first", "block").alias("begin"), F.max_by("last", "block").alias("end"),
+        F.max_by("tail", "block").alias("cut"), ((F.sum("n") == 1) & F.max_by("only", "block")).alias("whole"),
+    )
+    file, order = W.partitionBy("file"), W.partitionBy("file").orderBy("part")
+    parts = parts.withColumn("final", F.col("part") == F.max("part").over(file))
+    parts = parts.withColumn("cut", F.when(F.col("brace") | F.col("final"), 0).otherwise(F.col("cut"))).withColumn("whole", F.col("whole") & ~F.col("brace") & ~F.col("final"))
+    parts = parts.withColumn("sum", F.sum("cut").over(order))
+    # What parts of backslashes only have in front goes on with their own.
+    since = F.last(F.when(~F.col("whole"), F.col("sum") - F.col("cut")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
+    carry = F.when(F.col("whole"), 0).otherwise(F.coalesce(F.lag("sum").over(order), F.lit(0)) - F.coalesce(since, F.lit(0)))
+    parts = parts.withColumn("carry", carry.cast("int")).withColumn("cut", F.col("cut").cast("int"))
+    place = F.row_number().over(W.partitionBy("file").orderBy("part", "block")).cast("long")
+    numbered_ = runs.select("file", "part", "block", "first", F.min("first").over(file).alias("id"), place.alias("place"))
+    return written(numbered_.join(parts.drop("sum", "whole"), ["file", "part"]), "blocks")
+
+
+def _placed(pieces: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Pieces as ``prefix.ordered`` has rows, with ``closed``: whether a ``}`` is behind them in their object.
+
+    The last piece of a file is behind all objects, with its ``}`` if there is one.
     """
-    parts = effects.groupBy("file", "part").agg(F.max("_at").alias("_last"), (F.max("size") - F.sum(F.octet_length("text") + F.lit(1).cast("long"))).alias("_rest"))
-    ends = parts.select("_last", F.col("_rest").isin(0, 3).alias("_brace"), (F.col("_last") == F.max("_last").over(W.partitionBy("file"))).alias("_final"))
-    found = effects.join(F.broadcast(ends), F.col("_at") == F.col("_last"), "left")
-    text = F.when(F.col("_final") & F.col("_brace"), F.concat("text", F.lit("}"))).otherwise(F.col("text"))
-    return found.withColumn("text", text).withColumn("closed", F.coalesce(F.col("_brace") & ~F.col("_final"), F.lit(True))).drop("_last", "_brace", "_final")
+    found = pieces.drop("file", "size").join(F.broadcast(blocks), ["part", "block"])
+    begin, end = F.col("line") == F.col("begin"), F.col("line") == F.col("end")
+    text = F.when(end & (F.col("cut") > 0), F.expr("left(text, length(text) - cut)")).otherwise(F.col("text"))
+    text = F.when(begin & (F.col("carry") > 0), F.concat(F.repeat(F.lit("\\"), F.col("carry")), text)).otherwise(text)
+    brace = end & F.col("final") & F.col("brace")
+    at = F.shiftleft("place", _PLACE_BITS) + F.col("line") - F.col("first")
+    return found.select(F.col("id").alias("file"), at.alias("_at"), F.shiftright(at, _SLOT_BITS).alias("_slot"), text.alias("text"), (~end | (F.col("brace") & ~F.col("final"))).alias("closed"), F.coalesce(brace, F.lit(False)).alias("brace"))
 
 
 def json_objects(found: DataFrame) -> DataFrame:
@@ -154,8 +196,12 @@ def json_objects(found: DataFrame) -> DataFrame:
 
     A file that is not one array of objects is an error.
     """
-    pieces = found.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("o", _walked(F.col("text"), False)).withColumn("i", _walked(F.col("text"), True))
-    placed = _before(with_state(_closed(with_effects(pieces, F.col("o.inside"), F.col("i.inside"), "part", "block", "line"))), "_ends", F.lit(False))
+    # Dealt out by runs of a block, since blocks may be few and large, or many and small.
+    pieces = written(found.withColumn("text", F.coalesce("text", F.lit(""))).repartition("part", "block", F.shiftright("line", _SLOT_BITS)), "pieces")
+    blocks = _blocks(pieces)
+    walked = _placed(pieces, blocks).withColumn("o", _walked(F.col("text"), False)).withColumn("i", _walked(F.col("text"), True))
+    walked = written(walked.withColumn("text", F.when(F.col("brace"), F.concat("text", F.lit("}"))).otherwise(F.col("text"))).drop("brace"), "walked")
+    placed = _before(with_state(_effects(walked, F.col("o.inside"), F.col("i.inside"))), "_ends", F.lit(False))
     ends = F.col("closed") & ~F.col("_ends")
     delta = F.when(F.col("inside"), F.col("i.depth")).otherwise(F.col("o.depth")) - ends.cast("int")
     placed = placed.select("file", "_at", "_slot", "text", "closed", "_ends", delta.alias("delta"))
@@ -163,7 +209,8 @@ def json_objects(found: DataFrame) -> DataFrame:
     # A piece belongs to the object that ends with it or next.
     known = summed(deep, "file", "done", "upto").withColumn("row", F.col("upto") - F.col("done") + 1)
     texts = known.groupBy("file", "row").agg(F.array_sort(F.collect_list(F.struct("_at", "text", "closed"))).alias("pieces"), F.max("done").alias("done"))
-    texts = texts.select("file", "row", "done", F.array_join(F.transform("pieces", lambda p: F.concat(p["text"], F.when(p["closed"], "}").otherwise(""))), "").alias("text"))
+    names = blocks.select("file", F.col("id").alias("_id")).distinct()
+    texts = texts.withColumnRenamed("file", "_id").join(F.broadcast(names), "_id").select("file", "row", "done", F.array_join(F.transform("pieces", lambda p: F.concat(p["text"], F.when(p["closed"], "}").otherwise(""))), "").alias("text"))
     before = F.when(F.col("row") == 1, r"(?s)^\s*\[\s*(\{.*)$").otherwise(r"(?s)^\s*,\s*(\{.*)$")
     fault = lambda why: F.raise_error(F.concat(F.lit(f"{why}: "), F.col("file")))
     # What is left behind the last object must close the array.
