@@ -99,6 +99,34 @@ def test_a_canary_survives_every_document_format(spark):
     assert office.read_documents(spark.createDataFrame([(1, bytearray(b"junk"))], "doc long, content binary")).count() == 0
 
 
+LISTS = "<h2>T</h2><blockquote>q &amp; q</blockquote><pre>\n if x:\n\ty = '  &lt;'\n\n</pre><ol><li>a</li><li>b<ul><li>c<ul><li>d</li></ul></li></ul></li><li>e<ol><li>f</li></ol></li></ol><p>between</p><ol><li>g</li><li>h</li></ol><h6>U</h6>" + "<ul>" * 12 + "<li>deep" + "</ul>" * 12 + "<ol>" * 12 + "<li>deep<li>er"
+
+
+def test_docx_keeps_every_style_level_and_number(spark):
+    """Code with its spaces and lines, quotes, lists with depths and numbers that go on or begin anew."""
+    from weftline.sources import office
+
+    wanted = html_paragraphs(LISTS)
+    assert {p[1] for p in wanted} == set(office.STYLES) and ("a", "ordered", 0, 1) in wanted
+    assert office.office_paragraphs(office.docx_bytes([dict(zip(("text", "style", "level", "number"), p, strict=True)) for p in wanted])) == wanted
+    odd = [{"text": x, "style": "ordered", "level": l, "number": n} for x, l, n in (("a", 0, 7), ("b", 1, 1), ("c", 0, 8), ("d", 1, 2), ("e", 1, 3), ("f", 0, 0), ("g", 0, 5))] + [{"text": "x\r\ny \t", "style": "code", "level": 0, "number": 0}]
+    assert office.office_paragraphs(office.docx_bytes(odd)) == [(p["text"], p["style"], p["level"], p["number"]) for p in odd]
+
+
+def test_docx_roundtrip_tells_before_from_after(spark, tmp_path):
+    """Each page has a row: what went in, what came back, and how much of it as it was."""
+    from weftline.sources import office
+
+    rows = [(1, "u", LISTS), (2, "u", ""), (3, "u", None), (4, "u", "<p>a\x01b</p><p>c</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = {r["doc"]: r.asDict() for r in office.docx_roundtrip(spark, str(tmp_path)).collect()}
+    n = len(html_paragraphs(LISTS))
+    assert (found[1]["paragraphs"], found[1]["paragraphs_before"], found[1]["same"], found[1]["headings"]) == (n, n, n, 2) and found[1]["chars"] == found[1]["chars_before"]
+    assert all(found[1][f"{s}_before"] == found[1][f"{s}_after"] == sum(p[1] == s for p in html_paragraphs(LISTS)) for s in office.STYLES)
+    assert all(v == 0 for d in (2, 3) for k, v in found[d].items() if k != "doc")
+    assert [found[4][k] for k in ("paragraphs", "paragraphs_before", "same", "chars", "chars_before")] == [2, 2, 1, 3, 4]  # XML has no such character
+
+
 class Plainly(HTMLParser):
     """Another reading of a page, by the standard library's parser and a stack of open tags."""
 
